@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, table
-from . import mixing, spans, splitting, tokens
+from . import credentials, docpairs, handwritten, mixing, spans, splitting, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +19,59 @@ def query(f):
     return f
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """(record_kind, record_id, content) of files and chunks."""
+    files = table(spark, d, "file_payloads").select(F.lit("file").alias("record_kind"), F.col("file_id").alias("record_id"), "content")
+    chunks = table(spark, d, "chunks").select(F.lit("chunk").alias("record_kind"), F.col("chunk_id").alias("record_id"), "content")
+    return files.unionByName(chunks)
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of files and chunks on which a credential's value begins."""
+    return credentials.credential_lines(_records(spark, d), ["record_kind", "record_id"], "content").distinct()
+
+
+@query
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Digest and size of each record's redacted content, and whether it changed."""
+    r = credentials.redact_column(_records(spark, d).withColumn("before", F.sha2("content", 256)), "content")
+    after = F.sha2("content", 256)
+    return r.select("record_kind", "record_id", after.alias("redacted_hash"), F.octet_length("content").alias("redacted_bytes"), (after != F.col("before")).alias("changed")).distinct()
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.pair(table(spark, d, "symbols"), table(spark, d, "file_payloads"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions and methods whose file documents them."""
+    return _pairs(spark, d).where(F.col("documentation").isNotNull()).select("file_id", "line").distinct()
+
+
+@query
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Code and documentation of each function and method, inherited documentation resolved."""
+    pairs = _pairs(spark, d).dropDuplicates(["file_id", "line"])
+    bases = docpairs.hierarchy(table(spark, d, "symbols"), table(spark, d, "file_payloads"))
+    return docpairs.inherit(pairs, bases).select("file_id", "line", "name", "kind", "parent_name", "documented_in", "signature", "code", "documentation")
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files nobody wrote by hand for their project."""
+    return handwritten.not_handwritten(table(spark, d, "file_payloads")).select("file_id")
+
+
+@query
+def p4_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    """The files that remain, with the number of bytes of their content."""
+    files = table(spark, d, "file_payloads").where(F.col("content").isNotNull() & F.col("content").rlike(r"\S"))
+    out = handwritten.not_handwritten(files)
+    return files.select("file_id", "project_path", "path", F.octet_length("content").alias("bytes")).distinct().join(out, "file_id", "left_anti")
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks over the limit, and whether they can be cut at line ends alone."""
