@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, table
-from . import credentials, docpairs, handwritten, mixing, spans, splitting, tokens
+from . import credentials, docpairs, handwritten, mixing, spans, splitting, syntax, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,6 +40,24 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return r.select("record_kind", "record_id", after.alias("redacted_hash"), F.octet_length("content").alias("redacted_bytes"), (after != F.col("before")).alias("changed")).distinct()
 
 
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose content is no valid source of their language."""
+    return syntax.parse_flags(table(spark, d, "file_payloads")).where("not valid").select("file_id").distinct()
+
+
+@query
+def p2_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The place of the first error of each invalid file."""
+    return syntax.parse_flags(table(spark, d, "file_payloads"), errors=True).where("not valid").distinct()
+
+
+@query
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of invalid files per project and language."""
+    return syntax.invalid_rates(syntax.parse_flags(table(spark, d, "file_payloads")))
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.pair(table(spark, d, "symbols"), table(spark, d, "file_payloads"))
 
