@@ -1,7 +1,62 @@
 """SQL for DuckDB that each registered query is compared with."""
 
+from __future__ import annotations
+
+from ..functions.text import LANGUAGE_OF_NAME, extension_map
+from ..operators.symbols import SKIPPED_NAMES
+from ..streaming.folds import EXCLUDED_DIRS, EXCLUDED_EXTENSIONS
+
 ORACLE: dict[str, str] = {}
 
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FILES = "(SELECT DISTINCT file_id, project_path, path, content_hash, language FROM file_payloads)"
+
+_VECTORS = """WITH v AS (
+  SELECT vec_id AS doc_id, '/corpus/dir' || (vec_id // 50) || '/file' || (vec_id // 5) AS file_path, ((vec_id % 5) * 10 + 1)::INTEGER AS start_line, ((vec_id % 5) * 10 + 9)::INTEGER AS end_line,
+         ['go', 'java', 'python', 'rust', 'typescript'][(label % 5 + 1)::INTEGER] AS language, embedding FROM embeddings
+), s AS (
+  SELECT v.*, round(list_cosine_similarity(v.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 4) AS score FROM v
+)"""
+
+ORACLE["cosine_topk"] = f"{_VECTORS} SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 10"
+ORACLE["cosine_scores"] = ORACLE["cosine_scores_arrow"] = f"{_VECTORS} SELECT doc_id, score FROM s"
+ORACLE["batch_topk"] = """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
+p AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 4) AS score FROM q, embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM p)
+SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10
+"""
+
+# the window a search stops at: the first of 2, 4, 8, 16 times the limit with enough files or without more rows
+_ADAPTIVE = _VECTORS + """, r AS (
+  SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= {most}
+), f AS (SELECT * FROM r WHERE {passes}), w AS (
+  SELECT min(n) AS n FROM (
+    SELECT n, (SELECT count(DISTINCT file_path) FROM f WHERE rank <= n * {per}) AS files, (SELECT count(*) FROM r WHERE rank <= n * {per}) AS raw
+    FROM (VALUES ({limit} * 2), ({limit} * 4), ({limit} * 8), ({limit} * 16)) t(n))
+  WHERE files >= {limit} OR raw < n OR n = {limit} * 16
+), k AS (SELECT f.*, w.n::INTEGER AS "window" FROM f, w WHERE rank <= w.n * {per})"""
+ORACLE["adaptive_window"] = _ADAPTIVE.format(most=480, passes="score >= 0.05", per=1, limit=30) + ' SELECT doc_id, file_path, score, rank, "window" FROM k'
+_GROUPED = " SELECT file_path, arg_min(language, rank) AS language, max(score) AS best_score, count(*)::INTEGER AS n_matches FROM k GROUP BY file_path ORDER BY best_score DESC, file_path LIMIT 10"
+ORACLE["semantic_search_files"] = _ADAPTIVE.format(most=160, passes="score >= 0.0", per=1, limit=10) + _GROUPED
+ORACLE["semantic_search_filtered"] = (
+    _ADAPTIVE.format(most=800, passes="score >= 0.01 AND (contains(file_path, 'dir1') OR contains(file_path, 'dir3') OR contains(file_path, 'dir5')) AND NOT contains(file_path, 'file12')", per=5, limit=10) + _GROUPED
+)
+ORACLE["fanout_2_langs"] = f"{_VECTORS} SELECT doc_id, language, score, row_number() OVER (PARTITION BY language ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE language IN ('go', 'java') QUALIFY rank <= 20"
+ORACLE["postfilter_5_langs"] = f"{_VECTORS}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 50) SELECT doc_id, language, score, rank FROM r WHERE score >= 0.05 AND language IN ('go', 'java', 'python')"
+
+ORACLE["dedup_location"] = """
+SELECT search_id, file_path, start_line, end_line, score, hit_id FROM search_hits WHERE file_path IS NOT NULL AND score IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY search_id, file_path, start_line, end_line ORDER BY score DESC, hit_id) = 1
+"""
+ORACLE["path_filters"] = """
+SELECT hit_id, file_path, score FROM search_hits WHERE file_path IS NOT NULL AND score >= 0.4
+AND (contains(file_path, '/src/') OR contains(file_path, '/lib/') OR contains(file_path, '/core/')) AND NOT (contains(file_path, 'legacy') OR contains(file_path, 'vendor'))
+"""
+ORACLE["hits_by_file"] = """
+SELECT search_id, file_path, max(score) AS best_score, count(*) AS hits, arg_min_null(language, hit_id) AS language FROM search_hits
+WHERE file_path IS NOT NULL AND score IS NOT NULL GROUP BY search_id, file_path
+"""
 ORACLE["p5_found"] = """
 WITH r AS (
   SELECT search_id, file_path, start_line AS s, end_line AS e FROM search_hits WHERE file_path IS NOT NULL
@@ -22,3 +77,164 @@ SELECT search_id, file_path, 'period' AS kind, s AS start_line, e AS end_line FR
 UNION ALL
 SELECT search_id, file_path, 'gap', (e + 1)::INTEGER, (nx - 1)::INTEGER FROM q WHERE nx IS NOT NULL
 """
+
+_SYMBOL = "SELECT symbol_id, name, kind, file_path, line FROM l WHERE level = (SELECT min(level) FROM l) ORDER BY name, file_path, line LIMIT {}"
+_NAME = _FOLD.format("name")
+ORACLE["symbol_cascade"] = f"WITH l AS (SELECT *, CASE WHEN {_NAME} LIKE 'token' THEN 1 WHEN {_NAME} LIKE 'token%' THEN 2 WHEN {_NAME} LIKE '%token%' THEN 3 END AS level FROM symbols) " + _SYMBOL.format(100)
+ORACLE["symbol_cascade_prefix"] = f"WITH l AS (SELECT *, CASE WHEN {_NAME} LIKE 'fetch' THEN 1 WHEN {_NAME} LIKE 'fetch%' THEN 2 WHEN {_NAME} LIKE '%fetch%' THEN 3 END AS level FROM symbols WHERE kind IN ('function', 'method')) " + _SYMBOL.format(1000)
+ORACLE["symbol_definitions"] = f"WITH l AS (SELECT *, CASE WHEN name = 'render%' THEN 1 WHEN {_NAME} LIKE 'render%' THEN 2 END AS level FROM symbols WHERE kind = 'method') " + _SYMBOL.format(1000)
+ORACLE["symbols_by_language"] = "SELECT coalesce(nullif(language, ''), '(unknown)') AS language, count(*) AS symbols FROM symbols WHERE name <> '' GROUP BY 1"
+ORACLE["latest_symbols"] = "SELECT symbol_id, file_id, name, kind, line FROM symbols QUALIFY row_number() OVER (PARTITION BY file_id, name, kind, line ORDER BY indexed_at DESC, symbol_id DESC) = 1"
+
+def _map(m: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in m.items()) + "}"
+
+
+_BASE = "string_split(path, '/')[-1]"
+_EXT = f"lower(regexp_extract({_BASE}, '(\\.[^.]*)$', 1))"
+_LANGUAGE = f"coalesce({_map(LANGUAGE_OF_NAME)}[{_BASE}], {_map(extension_map())}[{_EXT}])"
+_CLIENT = f"{_map(extension_map(client=True))}[{_EXT}]"
+_PARTS = "list_filter(string_split(path, '/'), lambda x: x <> '')"
+_BUCKET = f"CASE WHEN len({_PARTS}) > 3 THEN array_to_string({_PARTS}[1:4], '/') WHEN len({_PARTS}) > 1 THEN array_to_string({_PARTS}[1:2], '/') END"
+ORACLE["files_like"] = f"SELECT DISTINCT path AS file_path, {_LANGUAGE} AS language FROM file_payloads WHERE {_FOLD.format('path')} LIKE '%token%' ORDER BY file_path LIMIT 1000"
+ORACLE["path_languages"] = f"SELECT DISTINCT path, {_LANGUAGE} AS language, {_CLIENT} AS client_language, {_EXT} AS ext, {_BUCKET} AS bucket FROM file_payloads"
+
+_SKIPPED = ", ".join(f"'{x}'" for x in sorted(SKIPPED_NAMES))
+_REFERENCES = f"""WITH l AS (
+  SELECT path, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT path, string_split(content, chr(10)) AS ls FROM (SELECT DISTINCT path, language, content FROM file_payloads WHERE content IS NOT NULL))
+), r AS (
+  SELECT DISTINCT path, i, name FROM (SELECT path, i, unnest(regexp_extract_all(l, '[A-Za-z0-9_]+')) AS name FROM l) WHERE regexp_matches(name, '^[A-Za-z_]') AND length(name) >= 2 AND name NOT IN ({_SKIPPED})
+)"""
+ORACLE["reference_counts"] = f"{_REFERENCES} SELECT name, count(*) AS lines, count(DISTINCT path) AS files FROM (SELECT DISTINCT path, i, name FROM r) GROUP BY name"
+
+ORACLE["sliding_window_chunks"] = """
+WITH d AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) > 0),
+w AS (SELECT *, unnest(range(0, CASE WHEN n <= 4000 THEN 1 ELSE ceil((n - 4000) / 3500)::BIGINT + 1 END))::INTEGER AS idx FROM d),
+c AS (SELECT doc_id, idx, array_slice(b, idx * 3500 + 1, least(idx * 3500 + 4000, n)) AS c, CASE WHEN idx = 0 THEN ''::BLOB ELSE array_slice(b, 1, idx * 3500) END AS p FROM w)
+SELECT doc_id, idx, md5(c) AS content_md5, (1 + len(list_filter(regexp_extract_all(hex(p), '..'), lambda x: x = '0A')))::INTEGER AS start_line,
+       (1 + len(list_filter(regexp_extract_all(hex(p), '..'), lambda x: x = '0A')) + len(list_filter(regexp_extract_all(hex(c), '..'), lambda x: x = '0A')))::INTEGER AS end_line FROM c
+"""
+ORACLE["gap_fill"] = """
+WITH t AS (SELECT DISTINCT file_id, len(string_split(content, chr(10))) AS n FROM file_payloads WHERE content IS NOT NULL),
+r AS (SELECT DISTINCT file_id, start_line AS s, end_line AS e FROM chunks WHERE chunk_type <> 'module' AND start_line <= end_line UNION ALL SELECT file_id, n + 1, n + 1 FROM t),
+o AS (SELECT *, coalesce(max(e) OVER (PARTITION BY file_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM r)
+SELECT o.file_id, (m + 1)::INTEGER AS start_line, (least(s, n + 1) - 1)::INTEGER AS end_line FROM o JOIN t USING (file_id) WHERE m + 1 <= least(s, n + 1) - 1
+"""
+_REL = "CASE WHEN starts_with(file_path, rtrim(project_path, '/') || '/') THEN substr(file_path, length(rtrim(project_path, '/')) + 2) ELSE file_path END"
+ORACLE["embedding_texts"] = f"""
+SELECT DISTINCT chunk_id, md5(CASE WHEN rel = '' THEN chunk_type || ': ' || content ELSE 'File: ' || rel || chr(10) || CASE WHEN coalesce(language, '') <> '' THEN 'Language: ' || language || chr(10) ELSE '' END
+  || CASE WHEN chunk_type IN ('function', 'class', 'method', 'type') AND coalesce(symbol_name, '') <> '' THEN chunk_type || ': ' || symbol_name || chr(10) ELSE '' END || chr(10) || content END) AS with_path,
+  md5(chunk_type || ': ' || content) AS plain
+FROM (SELECT *, {_REL} AS rel FROM chunks WHERE content IS NOT NULL)
+"""
+ORACLE["token_windows"] = """
+WITH d AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS i FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, unnest(range(0, CASE WHEN len(i) + 2 <= 128 THEN 1 ELSE ceil(len(i) / 126)::BIGINT END)) AS k FROM d),
+x AS (SELECT doc_id, k, CASE WHEN len(i) + 2 <= 128 THEN i ELSE i[k * 126 + 1 : (k + 1) * 126] END AS c FROM w)
+SELECT doc_id, k::INTEGER AS window_no, (len(c) + 2)::INTEGER AS n, (coalesce(list_sum(c), 0) + 203)::BIGINT AS total FROM x
+"""
+ORACLE["mean_pool"] = """
+SELECT label, (i - 1)::INTEGER AS i, round(avg(v::DOUBLE), 6) AS v FROM (SELECT label, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i
+"""
+
+_STORED = f"""stored AS (
+  SELECT path, CASE WHEN file_id % 7 = 0 THEN 'stale' ELSE content_hash END AS content_hash FROM {_FILES} WHERE file_id % 5 <> 0
+  UNION ALL SELECT path || '.gone', content_hash FROM {_FILES} WHERE file_id % 11 = 0
+)"""
+ORACLE["hash_diff"] = f"""WITH f AS (SELECT * FROM {_FILES}), {_STORED}
+SELECT coalesce(f.path, stored.path) AS path, CASE WHEN f.path IS NULL THEN 'deleted' WHEN stored.path IS NULL THEN 'new' WHEN f.content_hash = stored.content_hash THEN 'unchanged' ELSE 'changed' END AS status
+FROM f FULL OUTER JOIN stored ON f.path = stored.path"""
+ORACLE["files_to_send"] = f"WITH {_STORED} SELECT file_id, path FROM {_FILES} f WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.path = f.path AND s.content_hash = f.content_hash)"
+ORACLE["files_to_delete"] = f"WITH {_STORED} SELECT path FROM stored s WHERE NOT EXISTS (SELECT 1 FROM {_FILES} f WHERE f.path = s.path)"
+ORACLE["upsert_latest"] = "SELECT file_id, received_at, content_hash, size FROM file_payloads QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC, content_hash DESC) = 1"
+ORACLE["indexable_files"] = "SELECT DISTINCT file_id, path FROM file_payloads WHERE octet_length(encode(content)) <= 524288 AND trim(content, ' ' || chr(9) || chr(10) || chr(13)) <> ''"
+ORACLE["cascade_delete"] = """
+WITH gone AS (SELECT host_path FROM projects WHERE status = 'error' OR path_hash < '4')
+SELECT project_path, count(*) AS rows, 'symbols' AS source FROM symbols WHERE project_path NOT IN (SELECT host_path FROM gone) GROUP BY project_path
+UNION ALL SELECT project_path, count(*), 'chunks' FROM chunks WHERE project_path NOT IN (SELECT host_path FROM gone) GROUP BY project_path
+"""
+_STATS = """f AS (SELECT project_path, count(DISTINCT file_id) AS a FROM file_payloads GROUP BY 1), c AS (SELECT project_path, count(DISTINCT chunk_id) AS b FROM chunks GROUP BY 1), y AS (SELECT project_path, count(*) AS d FROM symbols GROUP BY 1),
+st AS (SELECT project_path, coalesce(a, 0) AS total_files, coalesce(b, 0) AS total_chunks, coalesce(d, 0) AS total_symbols FROM f FULL OUTER JOIN c USING (project_path) FULL OUTER JOIN y USING (project_path))"""
+ORACLE["project_stats"] = f"WITH {_STATS} SELECT *, '{{\"total_files\":' || total_files || ',\"total_chunks\":' || total_chunks || ',\"total_symbols\":' || total_symbols || '}}' AS stats FROM st"
+ORACLE["dir_histogram"] = f"SELECT {_BUCKET} AS dir, count(*) AS file_count FROM {_FILES} GROUP BY 1 HAVING dir IS NOT NULL ORDER BY file_count DESC, dir LIMIT 10"
+_HISTOGRAM = f"SELECT project_path, {_BUCKET} AS dir, count(*) AS file_count FROM {_FILES} GROUP BY 1, 2 HAVING dir IS NOT NULL QUALIFY row_number() OVER (PARTITION BY project_path ORDER BY file_count DESC, dir) <= "
+ORACLE["dir_histogram_by_project"] = _HISTOGRAM + "10"
+ORACLE["project_languages"] = f"SELECT project_path, '[\"' || string_agg(l, '\",\"' ORDER BY l) || '\"]' AS languages FROM (SELECT DISTINCT project_path, {_LANGUAGE} AS l FROM file_payloads) WHERE l IS NOT NULL GROUP BY project_path"
+ORACLE["project_summary"] = f"""WITH {_STATS}, top AS ({_HISTOGRAM} 1)
+SELECT host_path AS project_path, status, coalesce(total_files, 0) AS total_files, coalesce(total_chunks, 0) AS total_chunks, coalesce(total_symbols, 0) AS total_symbols, dir AS top_dir, file_count AS top_files
+FROM projects LEFT JOIN st ON st.project_path = host_path LEFT JOIN top ON top.project_path = host_path"""
+ORACLE["file_batches"] = f"SELECT project_path, b AS batch_no, count(*) AS files, min(path) AS first_path FROM (SELECT *, (row_number() OVER (PARTITION BY project_path ORDER BY path) - 1) // 20 AS b FROM {_FILES}) GROUP BY 1, 2"
+ORACLE["latest_run"] = "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC) = 1"
+ORACLE["backfill_hash"] = "SELECT host_path, CASE WHEN path_hash < '8' THEN sha1(host_path)[1:16] ELSE path_hash END AS path_hash FROM projects"
+ORACLE["identities"] = "SELECT DISTINCT chunk_id, md5(file_path)[1:12] || ':' || start_line || '-' || end_line || ':0' AS doc_id, 'project_' || md5(project_path) AS collection, sha1(project_path)[1:16] AS project_hash, sha256(content) AS content_hash FROM chunks"
+
+ORACLE["path_overlap"] = """
+WITH d AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS q FROM file_payloads), p AS (SELECT DISTINCT host_path AS p FROM projects)
+SELECT p AS left_path, q AS right_path FROM p, d WHERE p <> q AND (starts_with(p, q || '/') OR starts_with(q, p || '/')) AND q <> ''
+"""
+ORACLE["longest_prefix_root"] = f"""
+WITH r AS (SELECT host_path AS root FROM projects UNION SELECT regexp_extract(path, '^(/[^/]+/[^/]+/[^/]+/[^/]+)/', 1) FROM {_FILES} WHERE file_id % 3 = 0), f AS (SELECT DISTINCT path FROM file_payloads)
+SELECT path, coalesce((SELECT arg_max(root, length(root)) FROM r WHERE root <> '' AND (f.path = root OR starts_with(f.path, root || '/'))), path) AS resolved FROM f
+"""
+_IN_DIRS = ", ".join(f"'{x}'" for x in sorted(EXCLUDED_DIRS))
+_IN_EXT = ", ".join(f"'{x}'" for x in sorted(EXCLUDED_EXTENSIONS))
+_RELP = "CASE WHEN starts_with(path, project_path || '/') THEN substr(path, length(project_path) + 2) ELSE path END"
+ORACLE["watch_actions"] = f"""
+SELECT DISTINCT rel, CASE WHEN rel = '.git/HEAD' THEN 'immediate' WHEN len(list_filter(ds, lambda x: x IN ({_IN_DIRS}) OR ends_with(x, '.egg-info'))) > 0 THEN 'drop' WHEN b IN ('.gitignore', '.cixignore', '.cixconfig.yaml') THEN 'full'
+  WHEN ends_with(b, '~') OR starts_with(b, '.#') OR b = '4913' OR lower(regexp_extract(b, '(\\.[^.]*)$', 1)) IN ({_IN_EXT}) THEN 'drop' ELSE 'track' END AS action
+FROM (SELECT rel, string_split(rel, '/')[-1] AS b, string_split(rel, '/')[:-2] AS ds FROM (SELECT {_RELP} AS rel FROM file_payloads))
+"""
+ORACLE["runtime_config"] = """
+WITH t AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 <> 0 THEN (s_suppkey % 3)::INTEGER END AS db, CASE WHEN s_suppkey % 5 <> 0 THEN (s_suppkey % 2 * 7)::INTEGER END AS env FROM supplier)
+SELECT id, coalesce(nullif(db, 0), nullif(env, 0), 8)::INTEGER AS value, CASE WHEN nullif(db, 0) IS NOT NULL THEN 'db' WHEN nullif(env, 0) IS NOT NULL THEN 'env' ELSE 'recommended' END AS source,
+  coalesce(db, env, -1)::INTEGER AS gpu, CASE WHEN db IS NOT NULL THEN 'db' WHEN env IS NOT NULL THEN 'env' ELSE 'recommended' END AS gpu_source, CASE WHEN db IS NULL THEN 5 WHEN db = 0 THEN NULL ELSE db END::INTEGER AS patched FROM t
+"""
+ORACLE["drift_flag"] = "SELECT host_path, CASE WHEN indexed_with_model IS NULL THEN 'unknown' WHEN indexed_with_model <> (SELECT max(indexed_with_model) FROM projects) THEN 'stale' ELSE 'current' END AS drift FROM projects"
+ORACLE["project_settings"] = """
+SELECT host_path, coalesce(json_array_length(j -> 'exclude_patterns'), 0)::INTEGER AS patterns, coalesce((j ->> 'max_file_size')::BIGINT, 524288) AS max_file_size
+FROM (SELECT host_path, CASE WHEN json_valid(settings) THEN settings::JSON END AS j FROM projects)
+"""
+ORACLE["owner_counts"] = """
+SELECT c_custkey, c_mktsegment, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS open_orders, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS all_orders,
+  (SELECT max(o_orderdate) FROM orders WHERE o_custkey = c_custkey) AS last_order FROM customer
+"""
+ORACLE["valid_keys"] = "SELECT o_custkey AS owner_id, count(*) AS keys FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' AND c_acctbal >= 0 GROUP BY 1"
+ORACLE["scalar_functions"] = """
+SELECT o_orderkey AS id, floor(o_totalprice / 1000 * 10 + 0.5) / 10 AS one, round(o_totalprice / 7, 4) AS four, (o_orderkey % 7) * 100.0::DOUBLE / 6 AS pct,
+  least(CASE WHEN o_orderkey % 1500 - 100 <= 0 THEN 20 ELSE o_orderkey % 1500 - 100 END, 1000)::INTEGER AS lim, least(pow(2.0, o_orderkey % 9 + 1), 60.0)::DOUBLE AS backoff,
+  CASE WHEN a < 60 THEN a || 's' WHEN a < 3600 THEN (a // 60) || 'm' WHEN a < 86400 THEN (a // 3600) || 'h' ELSE (a // 86400) || 'd' END AS age FROM (SELECT *, o_orderkey % 200000 AS a FROM orders)
+"""
+
+ORACLE["ema"] = """
+WITH RECURSIVE e AS (SELECT event_type, avg(value) AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts::DATE) AS i FROM events GROUP BY event_type, ts::DATE),
+r AS (SELECT event_type, 3.0::DOUBLE AS s, 0::BIGINT AS i FROM (SELECT DISTINCT event_type FROM e) UNION ALL SELECT r.event_type, r.s * 0.75 + e.v * 0.25, e.i FROM r JOIN e ON e.event_type = r.event_type AND e.i = r.i + 1)
+SELECT event_type, round(arg_max(s, i), 6) AS ema FROM r GROUP BY event_type
+"""
+ORACLE["percentile_nearest"] = """
+WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, p, value FROM e, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) t(p) WHERE i = floor(p * (n - 1) + 0.5)
+"""
+_RANKED = """r AS (SELECT search_id AS query, file_path AS item, max(score) AS s, count(*) AS n FROM search_hits WHERE file_path IS NOT NULL AND score IS NOT NULL GROUP BY 1, 2),
+a AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY s DESC, item) AS x FROM r QUALIFY x <= 10), b AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY n DESC, item) AS y FROM r QUALIFY y <= 10)"""
+ORACLE["rank_agreement"] = f"""
+WITH {_RANKED}, m AS (SELECT query, item, x, y FROM a JOIN b USING (query, item)), c AS (SELECT query, count(*) AS n FROM m GROUP BY 1),
+t AS (SELECT p.query, sum(sign(q.y - p.y)) AS s FROM m p JOIN m q ON p.query = q.query AND p.x < q.x GROUP BY 1), na AS (SELECT query, count(*) AS k FROM a GROUP BY 1), nb AS (SELECT query, count(*) AS k FROM b GROUP BY 1)
+SELECT na.query, round(coalesce(n, 0) / (na.k + nb.k - coalesce(n, 0))::DOUBLE, 6) AS jaccard, round(coalesce(n, 0) / na.k::DOUBLE, 6) AS recall, CASE WHEN n >= 2 THEN round(s * 2.0::DOUBLE / (n * (n - 1)), 6) END AS tau
+FROM na JOIN nb USING (query) LEFT JOIN c USING (query) LEFT JOIN t USING (query)
+"""
+ORACLE["eval_metrics"] = f"""
+WITH h AS (SELECT search_id AS query, {_REL} AS rel, max(score) AS s FROM search_hits WHERE file_path IS NOT NULL AND score IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, rel) AS rank FROM h),
+q AS (SELECT query, ['concept', 'path_hint', 'identifier'][(query % 3 + 1)::INTEGER] AS category, sum(CASE WHEN rank <= 5 AND (starts_with(rel, 'src/') OR rel = 'lib' OR starts_with(rel, 'lib/') OR starts_with(rel, 'core/')) THEN 1 ELSE 0 END) AS e,
+  sum(CASE WHEN rank <= 5 AND (rel = 'legacy' OR starts_with(rel, 'legacy/')) THEN 1 ELSE 0 END) AS a FROM r GROUP BY 1, 2)
+SELECT category, count(*) AS queries, round(count_if(e > 0) * 100.0::DOUBLE / count(*), 6) AS hit_rate, round(count_if(a = 0) * 100.0::DOUBLE / count(*), 6) AS clean_rate, round(sum(e) * 100.0::DOUBLE / (5 * count(*)), 6) AS "precision" FROM q GROUP BY category
+"""
+ORACLE["cosine_parity"] = """
+SELECT count(*) AS pairs, round(avg(c), 6) AS mean, round(min(c), 6) AS least FROM (SELECT list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+"""
+ORACLE["debounce"] = """
+WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS t FROM events), g AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w >= 21600000000 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(t) AS first_us, max(t) AS last_us, count(*) AS events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM s GROUP BY user_id, k
+"""
+ORACLE["progress_events"] = "SELECT event_type AS run_id, count(*) AS events, count(nullif(event_id % 5, 0)) AS with_chunks, sum(nullif(event_id % 5, 0))::BIGINT AS chunks, 0::BIGINT AS messages, max('/p/' || event_id) AS last_path FROM events GROUP BY 1"
