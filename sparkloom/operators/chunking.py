@@ -24,13 +24,13 @@ def sliding_windows(files: DataFrame, id_cols: list[str], text_col: str, size: i
     Windows are counted in UTF-8 bytes and may cut a character; lines count from 1. A null or empty text has none; a text
     within ``size`` has one. All in the JVM, one pass over the text for each of its windows' slices.
     """
-    b = F.encode(F.col(text_col), F.lit("utf-8"))
+    b = F.encode(F.col(text_col), "utf-8")
     n = F.octet_length(b)
     step = size - overlap
     last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step).cast("int"))
     d = files.where(F.octet_length(F.col(text_col)) > 0).select(*id_cols, b.alias("_b"), n.alias("_n"), last.cast("int").alias("_l"))
     d = d.select("*", F.explode(F.sequence(F.lit(0), F.col("_l"))).alias("idx"))
-    newlines = lambda x: F.octet_length(F.regexp_replace(F.decode(x, F.lit("iso-8859-1")), r"[^\n]", ""))
+    newlines = lambda x: F.octet_length(F.regexp_replace(F.decode(x, "iso-8859-1"), r"[^\n]", ""))
     d = d.select(*id_cols, "idx", F.expr(f"substring(_b, idx * {step} + 1, {size})").alias("content"), F.expr(f"substring(_b, 1, idx * {step})").alias("_before"))
     start = newlines(F.col("_before")) + 1
     return d.select(*id_cols, "idx", "content", start.cast("int").alias("start_line"), (start + newlines(F.col("content"))).cast("int").alias("end_line"))

@@ -161,6 +161,6 @@ def discover(spark: SparkSession, root: str, exclude_dirs: Sequence[str] = (), m
     """(path, rel_path, content, content_hash, language, size): the text files below a directory that no rule leaves out,
     in no order; language as the client detects it."""
     found = scan(spark, root)
-    rules = rules_of(found.where(text.base_name(F.col("rel_path")).isin(".gitignore", ".cixignore")).withColumn("text", F.decode("content", F.lit("utf-8"))))
+    rules = rules_of(found.where(text.base_name(F.col("rel_path")).isin(".gitignore", ".cixignore")).withColumn("text", F.decode("content", "utf-8")))
     kept = text_only(not_ignored(keepable(found, exclude_dirs, max_size), rules))
-    return kept.select("path", "rel_path", F.decode("content", F.lit("utf-8")).alias("content"), F.sha2("content", 256).alias("content_hash"), text.detect_language_client(F.col("path")).alias("language"), F.col("length").alias("size"))
+    return kept.select("path", "rel_path", F.decode("content", "utf-8").alias("content"), F.sha2("content", 256).alias("content_hash"), text.detect_language_client(F.col("path")).alias("language"), F.col("length").alias("size"))
