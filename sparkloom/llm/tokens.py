@@ -126,7 +126,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", nam
     rows = encoded.select(F.col(id_col).alias("_id"), F.posexplode_outer(ids_col).alias("_p", "token_id"))
     joined = rows.join(vocab, "token_id", "left").withColumn("bad", F.col("token_id").isNotNull() & F.col("piece").isNull())
     parts = F.transform(F.array_sort(F.collect_list(F.struct("_p", F.hex("piece").alias("h")))), lambda x: x["h"])
-    out = joined.groupBy("_id").agg(F.max("bad").alias("bad"), F.decode(F.unhex(F.array_join(parts, "")), F.lit("utf-8")).alias("t"))
+    out = joined.groupBy("_id").agg(F.max("bad").alias("bad"), F.decode(F.unhex(F.array_join(parts, "")), "utf-8").alias("t"))
     return out.select(F.col("_id").alias(id_col), F.when(~F.col("bad"), F.coalesce("t", F.lit(""))).alias("text"))
 
 
