@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +32,26 @@ def get_session(app: str = "sparkloom", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application; they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip"  # read by the driver's file server only
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,3 +69,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     own = tempfile.mkdtemp(prefix="sparkloom-", dir=os.environ.get("TMPDIR"))
     sc.setCheckpointDir(own)
     return own
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """The rows, written once as a compressed table in the shared checkpoint folder and read back.
+
+    Cuts the lineage as a checkpoint does, for intermediate results that several branches read; any executor can read it
+    again when another is lost. Unlike a checkpoint it keeps no partitioning and is columnar. The folder is left to
+    whoever owns ``spark.checkpoint.dir``.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
