@@ -22,12 +22,72 @@ BINARY_EXTENSIONS = tuple(
 MAX_SIZE = 524_288
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rel_path, length, modified, content) of all files below a directory."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", r"^file:(?://)?", "")
-    d = raw.select(path.alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
-    return d.withColumn("rel_path", text.relative_path(F.col("path"), F.lit(root.rstrip("/"))))
+def _filesystem(root: str):
+    """(file system, path) of a local path or a URI that pyarrow knows."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
+def scan(spark: SparkSession, root: str, exclude_dirs: Sequence[str] = ()) -> DataFrame:
+    """(path, rel_path, length, modified) of all files below a directory, without excluded and hidden directories.
+
+    Spark's own file sources leave out names that begin with a dot or an underscore, rule files and ``__init__.py`` among
+    them; so the subtrees of the top level are walked in tasks, each pruned as it goes. ``root`` must be reachable from the
+    executors. A directory that cannot be read is left out.
+    """
+    from pyarrow import fs as pafs
+
+    root = root.rstrip("/")
+    fs, base = _filesystem(root)
+    skip = frozenset((*EXCLUDED_DIRS, *exclude_dirs))
+    prune = lambda name: name in skip or name.startswith(".")
+    top = fs.get_file_info(pafs.FileSelector(base, recursive=False))
+    todo = [(x.path,) for x in top if x.type == pafs.FileType.Directory and not prune(x.base_name)]
+    here = [(x.path, x.size, x.mtime) for x in top if x.type == pafs.FileType.File]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, _ = _filesystem(root)
+        for pdf in batches:
+            stack = list(pdf["path"])
+            while stack:
+                rows = []
+                try:
+                    found = own.get_file_info(pafs.FileSelector(stack.pop(), recursive=False))
+                except OSError:
+                    continue
+                for x in found:
+                    if x.type == pafs.FileType.Directory:
+                        if not prune(x.base_name):
+                            stack.append(x.path)
+                    elif x.type == pafs.FileType.File:
+                        rows.append((x.path, x.size, x.mtime))
+                yield pd.DataFrame(rows, columns=["path", "length", "modified"])
+
+    schema = "path string, length bigint, modified timestamp"
+    out = spark.createDataFrame(here, schema)
+    if todo:
+        out = out.unionByName(spark.createDataFrame(todo, "path string").repartition(len(todo)).mapInPandas(walk, schema))
+    return out.withColumn("rel_path", text.relative_path(F.col("path"), F.lit(base)))
+
+
+def read_content(files: DataFrame, root: str) -> DataFrame:
+    """The files with their bytes; one that is gone or can't be read has a null content."""
+
+    @F.pandas_udf("binary")
+    def bytes_of(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fs, _ = _filesystem(root)
+        for s in it:
+            out = []
+            for p in s:
+                try:
+                    with fs.open_input_stream(p) as f:
+                        out.append(f.read())
+                except OSError:
+                    out.append(None)
+            yield pd.Series(out, dtype=object)
+
+    return files.withColumn("content", bytes_of("path"))
 
 
 def not_excluded(rel: Column, exclude_dirs: Sequence[str] = ()) -> Column:
@@ -160,7 +220,8 @@ def text_only(files: DataFrame, content: str = "content") -> DataFrame:
 def discover(spark: SparkSession, root: str, exclude_dirs: Sequence[str] = (), max_size: int = MAX_SIZE) -> DataFrame:
     """(path, rel_path, content, content_hash, language, size): the text files below a directory that no rule leaves out,
     in no order; language as the client detects it."""
-    found = scan(spark, root)
-    rules = rules_of(found.where(text.base_name(F.col("rel_path")).isin(".gitignore", ".cixignore")).withColumn("text", F.decode("content", "utf-8")))
-    kept = text_only(not_ignored(keepable(found, exclude_dirs, max_size), rules))
+    found = scan(spark, root, exclude_dirs)
+    is_rule = text.base_name(F.col("rel_path")).isin(".gitignore", ".cixignore")
+    rules = rules_of(read_content(found.where(is_rule), root).withColumn("text", F.decode("content", "utf-8")))
+    kept = text_only(read_content(not_ignored(keepable(found, exclude_dirs, max_size), rules), root))
     return kept.select("path", "rel_path", F.decode("content", "utf-8").alias("content"), F.sha2("content", 256).alias("content_hash"), text.detect_language_client(F.col("path")).alias("language"), F.col("length").alias("size"))
