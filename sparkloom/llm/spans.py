@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.intervals import cover_and_gaps
+from ..session import materialize
 
 K = 200
-M = 16
+M = 64
 #: Texts from which a minimiser's bucket is hot and is spread by window instead of gathered (about 300 characters a row).
 HOT_ROWS = 20_000
 
@@ -88,7 +89,9 @@ def _shared_in_bucket(t: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.n
     row, offset, a, b = _window_hashes(t.column("_s").to_pylist(), k)
     ids = t.column("_id").combine_chunks().dictionary_encode()
     who = np.asarray(ids.indices)[row]
-    order = np.lexsort((b, a))
+    order = np.argsort(a, kind="stable")
+    if len(a) and (np.diff(a[order]) == 0).any() and (b[order][1:] != b[order][:-1])[np.diff(a[order]) == 0].any():
+        order = np.lexsort((b, a))  # equal first halves of different windows
     a, b = a[order], b[order]
     heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
     w = who[order]
@@ -126,31 +129,31 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     idt = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.col("_id").isNotNull() & (F.char_length("_t") >= k))
-    keyed = d.select("_id", F.unhex(F.md5("_t")).alias("_h"), F.char_length("_t").alias("_n"))
+    keyed = materialize(d.select("_id", F.unhex(F.md5("_t")).alias("_h"), F.char_length("_t").alias("_n")))
     groups = keyed.groupBy("_h", "_n").agg(F.min("_id").alias("_rep"), (F.min("_id") != F.max("_id")).alias("_x"))
     whole = keyed.join(groups.where("_x"), ["_h", "_n"], "left_semi").select("_id", F.lit(0).cast("bigint").alias("s"), (F.col("_n") - 1).cast("bigint").alias("e"))
     reps = groups.select(F.col("_rep").alias("_id"), F.col("_h").alias("_rh"), "_x")
-    texts = d.join(reps, "_id").where(F.unhex(F.md5("_t")) == F.col("_rh")).select("_id", "_t", "_x")
+    # the digest must not become a join key: the texts then stay partitioned by id for the second join
+    texts = d.join(reps, "_id").where(F.coalesce(F.unhex(F.md5("_t")) == F.col("_rh"), F.lit(False))).select("_id", "_t", "_x")
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, t in enumerate(b.column(1).to_pylist()):
-                key = np.unique(super_kmers(_codes(t), k, m)[0])
-                rows.append(np.full(len(key), i))
-                keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column(0).take(pa.array(np.concatenate(rows)))], ["_m", "_id"])
+            keys = [np.unique(super_kmers(_codes(t), k, m)[0]).view(np.int64) for t in b.column("_t").to_pylist()]
+            off = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            values = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), pa.ListArray.from_arrays(pa.array(off), values)], ["_id", "_h", "_ms"])
 
-    pairs = texts.select("_id", "_t").mapInArrow(minimisers, f"_m bigint, _id {idt}")
-    several = pairs.groupBy("_m").agg(F.min("_id").alias("a"), F.max("_id").alias("z"), F.count("*").alias("c")).where("a <> z").select("_m", (F.col("c") > hot_rows).alias("_hot"))
-    wanted = pairs.join(several, "_m").groupBy("_id").agg(F.sort_array(F.collect_set(F.struct("_m", "_hot"))).alias("_w"))
+    mins = d.select("_id", F.unhex(F.md5("_t")).alias("_h"), "_t").mapInArrow(minimisers, f"_id {idt}, _h binary, _ms array<bigint>")
+    pairs = materialize(mins.join(reps, "_id").where(F.col("_h") == F.col("_rh")).select("_id", F.explode("_ms").alias("_m")))
+    several = pairs.groupBy("_m").agg(F.min("_id").alias("a"), F.max("_id").alias("z"), F.count("*").alias("c")).where("a <> z")
+    several = materialize(several.select("_m", (F.col("c") > hot_rows).alias("_hot")))
+    some_hot = not several.where("_hot").isEmpty()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, hots, rows, starts, parts = [], [], [], [], []
+            keys, rows, starts, parts = [], [], [], []
             want = b.column("_w")
-            flat, off = want.flatten(), np.asarray(want.offsets) - want.offsets[0].as_py()
-            wm, wh = np.asarray(flat.field("_m")), np.asarray(flat.field("_hot").cast(pa.int8()))
+            wm, off = np.asarray(want.flatten()), np.asarray(want.offsets) - want.offsets[0].as_py()
             for i, t in enumerate(b.column("_t").to_pylist()):
                 key, first, last = super_kmers(_codes(t), k, m)
                 key = key.view(np.int64)
@@ -158,14 +161,15 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 at = np.minimum(np.searchsorted(mine, key), len(mine) - 1)
                 for j in np.flatnonzero(mine[at] == key).tolist():
                     keys.append(key[j])
-                    hots.append(bool(wh[off[i] + at[j]]))
                     rows.append(i)
                     starts.append(first[j])
                     parts.append(t[first[j] : last[j] + k])
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hots, pa.bool_()), b.column("_id").take(take), b.column("_x").take(take), pa.array(starts, pa.int64()), pa.array(parts, pa.string())], ["_m", "_hot", "_id", "_x", "_p", "_s"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column("_id").take(take), b.column("_x").take(take), pa.array(starts, pa.int64()), pa.array(parts, pa.string())], ["_m", "_id", "_x", "_p", "_s"])
 
-    packed = texts.join(wanted, "_id").select("_id", "_t", "_x", "_w").mapInArrow(pack, f"_m bigint, _hot boolean, _id {idt}, _x boolean, _p bigint, _s string")
+    def packed(which: str) -> DataFrame:
+        wanted = pairs.join(several.where(which).select("_m"), "_m").groupBy("_id").agg(F.sort_array(F.collect_set("_m")).alias("_w"))
+        return texts.join(wanted, "_id").select("_id", "_t", "_x", "_w").mapInArrow(pack, f"_m bigint, _id {idt}, _x boolean, _p bigint, _s string")
 
     def count_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[pa.RecordBatch] = []
@@ -188,7 +192,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if pending:
             yield done(pa.Table.from_batches(pending))
 
-    cold = packed.where("not _hot").drop("_hot").repartition("_m").sortWithinPartitions("_m").mapInArrow(count_sorted, f"_id {idt}, s bigint, e bigint")
+    cold = packed("not _hot").repartition("_m").sortWithinPartitions("_m").mapInArrow(count_sorted, f"_id {idt}, s bigint, e bigint")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,11 +203,13 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 start = np.asarray(part.column("_p"))[row] + offset
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), part.column("_id").take(take), part.column("_x").take(take), pa.array(start)], ["_a", "_b", "_id", "_x", "s"])
 
-    spread = packed.where("_hot").mapInArrow(windows, f"_a bigint, _b bigint, _id {idt}, _x boolean, s bigint")
-    twice = spread.groupBy("_a", "_b").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo <> hi").select("_a", "_b")
-    hot = spread.where("not _x").join(twice, ["_a", "_b"], "left_semi").select("_id", "s", (F.col("s") + k - 1).alias("e"))
+    parts = whole.unionByName(cold)
+    if some_hot:
+        spread = packed("_hot").mapInArrow(windows, f"_a bigint, _b bigint, _id {idt}, _x boolean, s bigint")
+        twice = spread.groupBy("_a", "_b").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo <> hi").select("_a", "_b")
+        parts = parts.unionByName(spread.where("not _x").join(twice, ["_a", "_b"], "left_semi").select("_id", "s", (F.col("s") + k - 1).alias("e")))
 
-    runs = cover_and_gaps(whole.unionByName(cold).unionByName(hot), ["_id"], "s", "e").where("kind = 'period'")
+    runs = cover_and_gaps(parts, ["_id"], "s", "e").where("kind = 'period'")
     return runs.select(F.col("_id").alias(id_col), F.col("s").alias("start_char"), (F.col("e") + 1).alias("end_char"))
 
 
