@@ -32,6 +32,7 @@ class Parser:
     """
 
     CHART = 200_000
+    INLINE = 600
 
     def __init__(self, text: str, keep: str = "", drop: str = "", group: tuple[str, str] = ("", ""), lists: str = "", ends: str = "", goes_on: str = ""):
         """``group``: the terminals that open and close groups. ``lists``: rules that are closed under concatenation, of
@@ -57,6 +58,8 @@ class Parser:
             inner = re.compile(f"{self.open}([^{self.open}{self.close}]*){self.close}")
             self.innermost = inner
         full = {n: self._compile(b, False) for n, b in self.rules.items()}
+        # a long run of literals between commas parses as two of them do
+        self.squeeze = re.compile(f"([{self.code('NUM')}{self.code('STR')}]{self.code(',')})\\1{{2,}}")
         self.network = regex.compile(self._reachable(full, "file"))
         if self.roles:
             small = {n: self._compile(b, True) for n, b in self.rules.items() if n not in self.roles}
@@ -73,13 +76,24 @@ class Parser:
             self.memo: dict[str, str] = {}
 
     def _reachable(self, compiled: dict[str, str], start: str) -> str:
-        need, todo = {start}, [start]
-        while todo:
-            for n in re.findall(r"\(\?&(\w+)\)", compiled[todo.pop()]):
-                if n not in need:
-                    need.add(n)
-                    todo.append(n)
-        return "(?(DEFINE)" + "".join(f"(?P<{n}>{x})" for n, x in compiled.items() if n in need) + f")(?&{start})"
+        """The network of what ``start`` can call. A called network costs a frame, so those that do not call themselves are
+        put in place of their calls where they are short or called from few places; what is left is the recursive core."""
+        call = re.compile(r"\(\?&(\w+)\)")
+        rules = dict(compiled)
+        while True:
+            need, todo = {start}, [start]
+            while todo:
+                for n in call.findall(rules[todo.pop()]):
+                    if n not in need:
+                        need.add(n)
+                        todo.append(n)
+            rules = {n: rules[n] for n in rules if n in need}
+            calls = {n: sum(x.count(f"(?&{n})") for x in rules.values()) for n in rules}
+            fit = [n for n, x in rules.items() if n != start and f"(?&{n})" not in x and (calls[n] - 1) * len(x) <= self.INLINE]
+            if not fit:
+                return "(?(DEFINE)" + "".join(f"(?P<{n}>{x})" for n, x in rules.items()) + f")(?&{start})"
+            n = min(fit, key=lambda n: (calls[n] - 1) * len(rules[n]))
+            rules = {k: x.replace(f"(?&{n})", f"(?>{rules[n]})") for k, x in rules.items() if k != n}
 
     def code(self, terminal: str) -> str:
         return self.codes.setdefault(terminal, chr(0xE010 + len(self.codes)))
@@ -142,6 +156,7 @@ class Parser:
     def accepts(self, stream: str) -> bool:
         if ERROR in stream:
             return False
+        stream = self.squeeze.sub(r"\1\1", stream)
         if not self.roles:
             return self.network.fullmatch(stream) is not None
         depth = stream.count(self.open)
