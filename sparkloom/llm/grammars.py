@@ -282,7 +282,7 @@ HCL = """
 BIN = '+' '-' '*' '/' '%' '==' '!=' '<' '>' '<=' '>=' '&&' '||'
 file = N* (item (N N* | END))* END
 item = ID '=' expr | ID (STR | ID)* body
-body = '{' (N* (item N N*)* | item) '}'
+body = '{' N* (item N N*)* item? '}'
 expr = unary (BIN N* unary)* (N* '?' N* expr N* ':' N* expr)?
 unary = ('-' | '!')* primary
 primary = atom ('.' (ID | NUM | '*') | '[' N* ('*' | expr) N* ']')*
@@ -318,7 +318,8 @@ WORDS_IN = WORD ASSIGN NUMBER 'in' '{' '}' '!' 'if' 'then' 'else' 'for' 'do' 'do
 CONDPART = '<' '>' '(' ')' '|'
 """
 YAML = """
-file = (DOC | ENDDOC | DIRECTIVE)* (block (DOC | ENDDOC | DIRECTIVE)+)* block? END
+file = start* (block start+)* block? END
+start = DIRECTIVE+ DOC | DOC | ENDDOC
 block = mapping | sequence | single
 prop = ANCHOR | TAG
 mapping = pair+
