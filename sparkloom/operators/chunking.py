@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import spread
 
 WINDOW = 4000
 OVERLAP = 500
@@ -377,7 +378,7 @@ def chunk_files(files: DataFrame, id_col: str = "file_id", text_col: str = "cont
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(idx, pa.int32()), *(pa.array(c, t) for c, t in zip(cols, types))], [id_col, "language", "idx", *names])
 
-    raw = src.mapInArrow(run, f"`{id_col}` {kind}, language string, idx int, content string, chunk_type string, start_line int, end_line int, symbol_name string, signature string, parent_name string")
+    raw = spread(src).mapInArrow(run, f"`{id_col}` {kind}, language string, idx int, content string, chunk_type string, start_line int, end_line int, symbol_name string, signature string, parent_name string")
     structural = raw.where("chunk_type <> 'block'")
     return pack_lines(structural, limit).unionByName(raw.where("chunk_type = 'block'").withColumn("piece_no", F.lit(0)))
 

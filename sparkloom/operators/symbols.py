@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from ..session import spread
+
+_IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]*")
 
 # Identifiers that are no references worth keeping.
 SKIPPED_NAMES = frozenset(
@@ -82,17 +87,29 @@ def names_by_language(symbols: DataFrame) -> DataFrame:
 def extract_references(files: DataFrame, text_col: str = "content", path_col: str = "path") -> DataFrame:
     """(name, file_path, line, col, language): identifiers of each line, with 1-based lines and 0-based byte columns.
 
-    Names of less than two bytes, skipped words and repetitions of (name, line, col) are left out. A lexical
-    approximation of the identifiers of a syntax tree: texts inside strings and comments count too.
+    Names of less than two bytes and skipped words are left out; a file is to come once, as repeated rows repeat their
+    references. A lexical approximation of the identifiers of a syntax tree: texts inside strings and comments count too.
     """
-    lines = files.where(F.col(text_col).isNotNull()).select(F.col(path_col).alias("file_path"), "language", F.posexplode(F.split(F.col(text_col), "\n")).alias("i", "l"))
-    # the text before each identifier, and the identifiers, are the odd and even parts of the line
-    found = lines.where(F.col("l").rlike(r"[A-Za-z_]")).select("file_path", "language", "i", F.split(F.regexp_replace("l", r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*)", "\x01$1\x02"), "\x01").alias("parts"))
-    before = F.transform(F.col("parts"), lambda p: F.octet_length(F.replace(p, F.lit("\x02"), F.lit(""))))
-    each = F.transform(F.sequence(F.lit(2), F.size("parts")), lambda k: F.struct(F.substring_index(F.element_at(F.col("parts"), k), "\x02", 1).alias("name"), F.aggregate(F.slice(before, 1, k - 1), F.lit(0), lambda a, b: a + b).alias("col")))
-    rows = found.where(F.size("parts") > 1).select("file_path", "language", (F.col("i") + 1).alias("line"), F.explode(each).alias("x"))
-    out = rows.select(F.col("x.name").alias("name"), "file_path", "line", F.col("x.col").alias("col"), "language")
-    return out.where((F.octet_length("name") >= 2) & ~F.col("name").isin(*sorted(SKIPPED_NAMES))).distinct()
+    src = files.where(F.col(text_col).isNotNull()).select(F.col(path_col).alias("file_path"), "language", F.col(text_col).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, names, lines, cols = [], [], [], []
+            for i, t in enumerate(b.column("t").to_pylist()):
+                for n, line in enumerate(t.split("\n"), 1):
+                    found = _IDENTIFIER.finditer(line)
+                    plain = line.isascii()
+                    for m in found:
+                        name = m[0]
+                        if len(name) > 1 and name not in SKIPPED_NAMES:
+                            rows.append(i)
+                            names.append(name)
+                            lines.append(n)
+                            cols.append(m.start() if plain else len(line[: m.start()].encode()))
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), b.column("file_path").take(take), pa.array(lines, pa.int32()), pa.array(cols, pa.int32()), b.column("language").take(take)], ["name", "file_path", "line", "col", "language"])
+
+    return spread(src).mapInArrow(run, "name string, file_path string, line int, col int, language string")
 
 
 def without_definitions(refs: DataFrame, symbols: DataFrame) -> DataFrame:

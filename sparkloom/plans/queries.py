@@ -171,7 +171,8 @@ def files_like(spark, d):
 @query
 def reference_counts(spark, d):
     f = table(spark, d, "file_payloads").select("path", "language", "content").distinct()
-    return symbols.extract_references(f).groupBy("name").agg(F.count_distinct("file_path", "line").alias("lines"), F.count_distinct("file_path").alias("files"))
+    per = symbols.extract_references(f).select("name", "file_path", "line").distinct().groupBy("name", "file_path").agg(F.count("*").alias("n"))
+    return per.groupBy("name").agg(F.sum("n").alias("lines"), F.count("*").alias("files"))
 
 
 @query

@@ -82,3 +82,10 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as the cluster has cores, for work that costs far more than moving its
+    input; only an input of fewer splits than cores (a small table in one row group) is dealt out anew."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
