@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 REDACTED = "REDACTED"
 
 # Words that make an identifier a credential's name, in several languages.
@@ -331,7 +333,7 @@ def credential_lines(records: DataFrame, keys: list[str], text_col: str) -> Data
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(keys))), pa.array(lines, pa.int32())], [*keys, "line_no"])
 
-    return src.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in zip(keys, kinds)) + ", line_no int")
+    return spread(src).mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in zip(keys, kinds)) + ", line_no int")
 
 
 def redact_column(records: DataFrame, text_col: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, spread
 
 #: Tokens of a fingerprint, and fingerprints of a window of which winnowing keeps the least.
 K = 30
@@ -183,7 +183,7 @@ def not_handwritten(files: DataFrame, k: int = K, window: int = WINDOW, recurrin
                 yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("project_path"), pa.array(why, pa.string()), pa.ListArray.from_arrays(pa.array(off), values)], ["file_id", "project_path", "reason", "fps"])
 
     checkpoint_dir(files.sparkSession)
-    seen = src.mapInArrow(run, "file_id bigint, project_path string, reason string, fps array<bigint>").checkpoint()
+    seen = spread(src).mapInArrow(run, "file_id bigint, project_path string, reason string, fps array<bigint>").checkpoint()
     prints = seen.select("file_id", F.coalesce("project_path", F.lit("")).alias("project_path"), F.explode("fps").alias("fp"))
     common = prints.select("fp", "project_path").distinct().groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") >= projects).select("fp")
     hits = prints.join(common, "fp").groupBy("file_id").agg(F.count("*").alias("hits"))

@@ -11,6 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import grammars
 
 ERROR = "\ue000"
@@ -723,7 +724,7 @@ def parse_flags(files: DataFrame, errors: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = files.schema["file_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"file_id {kind}, project_path string, language string, valid boolean" + ", error_line int, error_column int" * errors)
+    return spread(src).mapInArrow(run, f"file_id {kind}, project_path string, language string, valid boolean" + ", error_line int, error_column int" * errors)
 
 
 def invalid_rates(flags: DataFrame) -> DataFrame:
