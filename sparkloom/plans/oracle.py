@@ -180,7 +180,7 @@ _IN_DIRS = ", ".join(f"'{x}'" for x in sorted(EXCLUDED_DIRS))
 _IN_EXT = ", ".join(f"'{x}'" for x in sorted(EXCLUDED_EXTENSIONS))
 _RELP = "CASE WHEN starts_with(path, project_path || '/') THEN substr(path, length(project_path) + 2) ELSE path END"
 ORACLE["watch_actions"] = f"""
-SELECT DISTINCT rel, CASE WHEN rel = '.git/HEAD' THEN 'immediate' WHEN len(list_filter(ds, lambda x: x IN ({_IN_DIRS}) OR ends_with(x, '.egg-info'))) > 0 THEN 'drop' WHEN b IN ('.gitignore', '.cixignore', '.cixconfig.yaml') THEN 'full'
+SELECT DISTINCT rel, CASE WHEN rel = '.git/HEAD' THEN 'immediate' WHEN len(list_filter(ds, lambda x: x IN ({_IN_DIRS}) OR ends_with(x, '.egg-info'))) > 0 THEN 'drop' WHEN b IN ('.gitignore', '.indexignore', '.indexconfig.yaml') THEN 'full'
   WHEN ends_with(b, '~') OR starts_with(b, '.#') OR b = '4913' OR lower(regexp_extract(b, '(\\.[^.]*)$', 1)) IN ({_IN_EXT}) THEN 'drop' ELSE 'track' END AS action
 FROM (SELECT rel, string_split(rel, '/')[-1] AS b, string_split(rel, '/')[:-2] AS ds FROM (SELECT {_RELP} AS rel FROM file_payloads))
 """

@@ -14,7 +14,10 @@ from ..functions import text
 
 # Directories, files and extensions that discovery leaves out, and the size limit.
 EXCLUDED_DIRS = tuple("node_modules .git .venv __pycache__ dist build .next .cache .DS_Store .idea .vscode vendor target .svn .hg coverage .nyc_output .tox .eggs .gradle .mvn".split())
-CONFIG_FILES = (".gitignore", ".cixignore", ".cixconfig.yaml", ".gitmodules")
+CONFIG_FILES = (".gitignore", ".gitmodules")
+#: Files with ignore rules, and the index's own files; parameters, as an installation may name its own otherwise.
+RULE_FILES = (".gitignore", ".indexignore")
+OWN_FILES = (".indexignore", ".indexconfig.yaml")
 BINARY_EXTENSIONS = tuple(
     ".pyc .pyo .class .o .obj .exe .dll .so .dylib .a .lib .jpg .jpeg .png .gif .ico .svg .bmp .tiff .webp .mp3 .mp4 .avi .mov .wav .flac .zip .tar .gz .rar .7z .bz2 "
     ".woff .woff2 .ttf .eot .pdf .doc .docx .xls .xlsx .db .sqlite .sqlite3 .wasm .map .lock .sum .log".split()
@@ -97,10 +100,10 @@ def not_excluded(rel: Column, exclude_dirs: Sequence[str] = ()) -> Column:
     return ~F.exists(dirs, lambda x: x.isin(*names) | F.startswith(x, F.lit(".")))
 
 
-def keepable(files: DataFrame, exclude_dirs: Sequence[str] = (), max_size: int = MAX_SIZE) -> DataFrame:
+def keepable(files: DataFrame, exclude_dirs: Sequence[str] = (), max_size: int = MAX_SIZE, own_files: Sequence[str] = OWN_FILES) -> DataFrame:
     """Files by directory, configuration name, extension and size (1 to ``max_size`` bytes)."""
     rel = F.col("rel_path")
-    return files.where(not_excluded(rel, exclude_dirs) & ~text.base_name(rel).isin(*CONFIG_FILES) & ~text.extension(rel).isin(*BINARY_EXTENSIONS) & F.col("length").between(1, max_size))
+    return files.where(not_excluded(rel, exclude_dirs) & ~text.base_name(rel).isin(*CONFIG_FILES, *own_files) & ~text.extension(rel).isin(*BINARY_EXTENSIONS) & F.col("length").between(1, max_size))
 
 
 def pattern_regex(pattern: str) -> tuple[re.Pattern, bool] | None:
@@ -161,10 +164,10 @@ def ignored(rel: str, rules: tuple[str, ...]) -> bool:
     return out
 
 
-def rules_of(files: DataFrame, text_col: str = "text") -> DataFrame:
+def rules_of(files: DataFrame, text_col: str = "text", rule_files: Sequence[str] = RULE_FILES) -> DataFrame:
     """(dir, rules): the lines of each ignore file, by the directory it lies in (empty for the root)."""
     rel = F.col("rel_path")
-    d = files.where(text.base_name(rel).isin(".gitignore", ".cixignore"))
+    d = files.where(text.base_name(rel).isin(*rule_files))
     return d.select(F.regexp_replace(rel, r"/?[^/]*$", "").alias("dir"), F.split(text_col, "\n").alias("rules"))
 
 
@@ -217,11 +220,11 @@ def text_only(files: DataFrame, content: str = "content") -> DataFrame:
     return files.where(sniffed(F.substring(content, 1, 512)))
 
 
-def discover(spark: SparkSession, root: str, exclude_dirs: Sequence[str] = (), max_size: int = MAX_SIZE) -> DataFrame:
+def discover(spark: SparkSession, root: str, exclude_dirs: Sequence[str] = (), max_size: int = MAX_SIZE, rule_files: Sequence[str] = RULE_FILES, own_files: Sequence[str] = OWN_FILES) -> DataFrame:
     """(path, rel_path, content, content_hash, language, size): the text files below a directory that no rule leaves out,
     in no order; language as the client detects it."""
     found = scan(spark, root, exclude_dirs)
-    is_rule = text.base_name(F.col("rel_path")).isin(".gitignore", ".cixignore")
-    rules = rules_of(read_content(found.where(is_rule), root).withColumn("text", F.decode("content", "utf-8")))
-    kept = text_only(read_content(not_ignored(keepable(found, exclude_dirs, max_size), rules), root))
+    is_rule = text.base_name(F.col("rel_path")).isin(*rule_files)
+    rules = rules_of(read_content(found.where(is_rule), root).withColumn("text", F.decode("content", "utf-8")), rule_files=rule_files)
+    kept = text_only(read_content(not_ignored(keepable(found, exclude_dirs, max_size, own_files), rules), root))
     return kept.select("path", "rel_path", F.decode("content", "utf-8").alias("content"), F.sha2("content", 256).alias("content_hash"), text.detect_language_client(F.col("path")).alias("language"), F.col("length").alias("size"))

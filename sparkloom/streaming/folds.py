@@ -8,13 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The index's own ignore and configuration files; pass others where an installation names them otherwise.
+OWN_RULE_FILES = (".indexignore", ".indexconfig.yaml")
+
 # Names, extensions and basenames that a watcher leaves out.
 EXCLUDED_DIRS = frozenset("node_modules .git .venv __pycache__ dist build .next .cache .DS_Store .idea .vscode vendor target .svn .hg coverage .nyc_output .tox .eggs .gradle .mvn".split())
 EXCLUDED_EXTENSIONS = frozenset(".pyc .pyo .class .o .obj .exe .dll .so .dylib .a .lib .jpg .jpeg .png .gif .ico .svg .mp3 .mp4 .avi .mov .wav .zip .tar .gz .rar .7z .lock .sum .swp .swx .swo .tmp .bak".split())
-RULE_FILES = frozenset((".gitignore", ".cixignore", ".cixconfig.yaml"))
+RULE_FILES = frozenset((".gitignore", *OWN_RULE_FILES))
 
 
-def action(rel_path: Column) -> Column:
+def action(rel_path: Column, rule_files: frozenset[str] = RULE_FILES) -> Column:
     """What a changed path asks for: immediate (the head of the repository moved), full (ignore rules changed), track or
     drop (excluded directories, temporary files, binary extensions)."""
     parts = F.split(rel_path, "/")
@@ -24,7 +27,7 @@ def action(rel_path: Column) -> Column:
     ext = F.lower(F.regexp_extract(base, r"(\.[^.]*)$", 1))
     temporary = F.endswith(base, F.lit("~")) | F.startswith(base, F.lit(".#")) | (base == "4913")
     return (
-        F.when(rel_path == ".git/HEAD", "immediate").when(excluded, "drop").when(base.isin(*sorted(RULE_FILES)), "full").when(temporary | ext.isin(*sorted(EXCLUDED_EXTENSIONS)), "drop").otherwise("track")
+        F.when(rel_path == ".git/HEAD", "immediate").when(excluded, "drop").when(base.isin(*sorted(rule_files)), "full").when(temporary | ext.isin(*sorted(EXCLUDED_EXTENSIONS)), "drop").otherwise("track")
     )
 
 
