@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Where the vocabulary files lie on every node; a parameter of each operator, never part of the repository.
 TOKENIZER_DIR = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k"
@@ -86,7 +88,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name
     total = d.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
     d = d.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
-    pairs = d.select("_b", F.explode(words(F.col("_t"))).alias("_w")).distinct()
+    pairs = materialize(d.select("_b", F.explode(words(F.col("_t"))).alias("_w")).distinct())  # read twice
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(name, folder)
