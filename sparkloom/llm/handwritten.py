@@ -116,6 +116,24 @@ def _head(lines: list[str]) -> str:
     return "\n".join(out)
 
 
+def _tail(lines: list[str]) -> str:
+    """The comments after the last line of code."""
+    out: list[str] = []
+    block = False
+    for x in reversed(lines[-40:]):
+        s = x.strip()
+        if not s:
+            continue
+        if block:
+            block = not s.startswith("/*")
+        elif s.endswith("*/"):
+            block = not s.startswith("/*")
+        elif not s.startswith(("//", "#", "--", ";", "<!--")):
+            break
+        out.append(s)
+    return "\n".join(out)
+
+
 def reason(path: str, text: str) -> str | None:
     """Why a file is not hand-written, from its own path and content: lock, generated, minified, data or third_party."""
     base = path.rsplit("/", 1)[-1]
@@ -127,8 +145,8 @@ def reason(path: str, text: str) -> str | None:
         return "third_party"
     if ext in _TEXT:
         return None
-    head = _head(lines)
-    if head:
+    head = _head(lines) + "\n" + _tail(lines)
+    if head != "\n":
         if any(_GENERATED.search(x) and not _NOT_GENERATED.search(x) for x in head.split("\n")):
             return "generated"
         if _UPSTREAM.search(head):
@@ -158,8 +176,8 @@ _DATA_START = frozenset("\"'-+0123456789[({])},;ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef
 def not_handwritten(files: DataFrame, k: int = K, window: int = WINDOW, recurring: float = RECURRING, projects: int = PROJECTS) -> DataFrame:
     """(file_id, reason): files written by a tool, minified or bundled, third-party copies, or data saved as code.
 
-    Lock files, heads written by generators, minified text, tables of literals and third-party heads and directories
-    are seen in the file itself. Third-party copies are found by winnowing: the token stream without comments and white
+    Lock files, heads and ends written by generators, minified text, tables of literals and third-party heads and
+    directories are seen in the file itself. Third-party copies are found by winnowing: the token stream without comments and white
     space gives fingerprints; those that occur in at least ``projects`` projects are recurring, and a file whose
     fingerprints recur to the part ``recurring`` is a copy. The owners' exclude patterns are hints only and decide
     nothing. A fingerprint of any number of files is counted with map-side combination and never gathered.

@@ -8,6 +8,7 @@ BODY = "def f(a):\n    return a + 1\n\n\ndef g(b):\n    return b\n" * 3
 CASES = [
     ("a/x.py", "# Code generated by x. DO NOT EDIT.\n" + BODY, "generated"), ("a/x.py", "#!/usr/bin/env python\n# Copyright\n#\n# @generated\n" + BODY, "generated"), ("a/x.go", "/*\n * Automatisch erzeugt von x, nicht bearbeiten.\n */\npackage p\n", "generated"), ("a/x.py", "# AUTOGENERATED by x -- do not modify\n" + BODY, "generated"),
     ("a/x.py", "# Originally generated by x, maintained by hand since 2021.\n" + BODY, None), ("a/x.py", "# Writes the files that x users must not edit, rev 1.\n" + BODY, None), ("a/x.py", "# Unlike the x output this file is edited by hand.\n" + BODY, None), ("a/x.py", BODY + 'T = "# @generated, do not edit"\n', None), ("a/x.py", '"""Auto-generated function stub"""\n' + BODY, None),
+    ("a/x.js", BODY + "// Copyright\n\n/*\n * AUTOGENERATED by x -- do not modify\n */\n", "generated"), ("a/x.py", BODY + "# Unlike the x output this file is edited by hand.\n", None),
     ("a/x.js", "// Licensed under the x Public Terms, version 4.\n" + BODY, None), ("a/package-lock.json", "{}", "lock"), ("a/b.json", '{\n  "lockfileVersion": 3\n}', "lock"), ("a/block.json", '{"a": 1}', None), ("a/vendor/x.py", BODY, "third_party"), ("a/vendors/x.py", BODY, None), ("a/lib/foo-2.1.0/x.py", BODY, "third_party"),
     ("a/x.py", "# Bundled copy of the x library 6.6.1. See LICENSE.x\n" + BODY, "third_party"), ("a/x.js", "var a=(b)=>{for(;b<5;)b.c(d)};" * 60, "minified"), ("a/x.js", 'const Q = "' + "select a, b, c " * 300 + '";\n' + BODY, None), ("a/t.py", "X = [\n" + "    1, 2, 3, 4, 5, 6,\n" * 40 + "]\n", "data"),
     ("a/t.go", "package p\n\nvar x = []string{\n" + '\t"zj2VSKYtNMP322TXwcgoEH6bjNEkcHIzp74GifIep3sKWL8woVtiuui5",\n' * 30 + "}\n", "data"), ("a/x.json", '{"a": [' + "1, " * 500 + "1]}", None), ("a/x.pb.go", "package p\n" + "".join(f"func get_field_{i:03d}() {{\n}}\n" for i in range(6)), "generated"), ("a/x.md", "Code generated by x. DO NOT EDIT.\n", None),
