@@ -212,6 +212,8 @@ class Parser:
     def first_error(self, stream: str) -> int:
         """Found by bisection: the longest prefix that is the beginning of some sentence."""
         lo, hi = 0, stream.find(ERROR) if ERROR in stream else len(stream)
+        if self.network.fullmatch(stream[:hi], partial=True):  # cut short: nothing but the end is wrong
+            return hi
         while lo < hi:
             mid = (lo + hi + 1) // 2
             if self.network.fullmatch(stream[:mid], partial=True):
