@@ -71,9 +71,13 @@ _FORMATS = re.compile(
 )
 #: Substrings without which the scans for formats and for notes find nothing.
 _FORMAT_HINTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "k_live_", "k_prod_", "sxk_", "sk_", "eyJ", "PRIVATE KEY", "assword=", "ASSWORD=", "wd=", "WD=", "Basic ", "Bearer ", " -u", "--user")
-_NOTE_HINTS = ("login", "Login", "LOGIN", "log in", "log-in", "Log in", "sign in", "Sign in", "sign-in", "psql", "mysql", "sso", "SSO", "vpn", "VPN", "credential", "Credential", "creds", "fallback", "ssh ", "account")
+_NOTE_HINTS = ("login", "Login", "LOGIN", "log in", "log-in", "Log in", "sign in", "Sign in", "sign-in", "psql", "mysql", "sso", "SSO", "vpn", "VPN", "credential", "Credential", "creds", "fallback", "account")
 # a login written out in a comment or in prose: a word of logging in, a user, a separator, the password
-_NOTE = re.compile(r"(?i)\b(?:log[ -]?in|sign[ -]?in|psql|mysql|ssh|sso|vpn|password|passwort|credentials?|creds|account|user|fallback)\b[^\n\"'`]*?[ \t(:][A-Za-z][\w.@\-]{2,}[ \t]*(?:/|:|,|\bwith(?:[ \t]+password)?|\bpassword(?:[ \t]+is)?|\bpw)[ \t]*([^\s\"'`]{6,}?)[,.;)]*(?=[ \t\r,]|$)", re.M)
+_NOTE = re.compile(
+    r"(?i)\b(?:log[ -]?in|sign[ -]?in|psql|mysql|sso|vpn|password|passwort|credentials?|creds|account|user|fallback)\b(?:(?!--)[^\n\"'`])*?[ \t(:][a-z][\w.@\-]{2,31}"
+    r"(?:[ \t]+/[ \t]+|[ \t]*:[ \t]*|,[ \t]+|[ \t]+with(?:[ \t]+password)?[ \t]+|[ \t]+password(?:[ \t]+is)?:?[ \t]+|[ \t]+pw:?[ \t]+)([^\s\"'`]{6,}?)[,.;)]*(?=[ \t\r,]|$)",
+    re.M,
+)
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _ESCAPED_NL = re.compile(r"\\n|\\r")
 
@@ -233,7 +237,7 @@ def find(text: str) -> list[list[tuple[int, int]]]:
                 found.append([(s, e)])
     if any(x in text for x in _NOTE_HINTS):
         for m in _NOTE.finditer(text):
-            if strong(m[1]) and (_classes(m[1]) >= 3 or _SPOKEN.match(m[1])):
+            if strong(m[1]) and (_classes(m[1]) >= 3 or _SPOKEN.match(m[1])) and "base64," not in m[1] and "//" not in m[1]:
                 found.append([m.span(1)])
     for m in _BLOCK_SCALAR.finditer(text) if "|" in text or ">" in text else ():
         v = "".join(x.strip() for x in m[3].split("\n"))
