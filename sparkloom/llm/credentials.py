@@ -44,7 +44,7 @@ _UUID = re.compile(r"(?i)^\{?[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\}?$")
 _HEX = re.compile(r"(?i)^(?:0x)?[0-9a-f]{16,}$")
 _RANDOM = re.compile(r"^[A-Za-z0-9_\-+/=.~]{20,}$")
 _B64 = re.compile(r"^[A-Za-z0-9+/_\-]{8,}={0,2}$")
-_NOT_SECRET_VALUE = re.compile(r"^(?:sha\d+[-:]|data:|ssh-|ecdsa-|AAAA|https?://[^@]*$|pk_|pub-|urn:|/|\.{1,2}/)|-----BEGIN (?:CERTIFICATE|PUBLIC|RSA PUBLIC)")
+_NOT_SECRET_VALUE = re.compile(r"^(?:sha\d+[-:]|data:|ssh-|ecdsa-|AAAA|https?://[^@]*$|pk_|pub-|urn:|/[a-z0-9_.\-]+(?:/|$)|\.{1,2}/)|-----BEGIN (?:CERTIFICATE|PUBLIC|RSA PUBLIC)")
 
 # literals: a prefix (Python), then a quoted text with escapes; at least one character inside
 _STR = r"""(?:[rRbBuU]{0,2}(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|`[^`]*`)"""
