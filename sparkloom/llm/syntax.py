@@ -72,6 +72,8 @@ class Parser:
             cut = "".join(any_group if x == "GROUP" else self.code(x) for x in ends.split())
             stay = "".join(any_group if x == "GROUP" else self.code(x) for x in (*goes_on.split(), ")", "]"))
             self.pieces = re.compile(f"(?<=[{cut}])(?![{stay}])" if cut else NEVER)
+            self.cuts = {self.close if x == "GROUP" else self.code(x) for x in ends.split()}
+            self.stays = {self.open if x == "GROUP" else self.code(x) for x in (*goes_on.split(), ")", "]")}
             self.balance = [(self.codes[a], self.codes[b]) for a, b in ("()", "[]") if a in self.codes]
             self.chart: dict = {}
             self.memo: dict[str, str] = {}
@@ -209,18 +211,47 @@ class Parser:
                     return True
         return start.fullmatch(content) is not None
 
-    def first_error(self, stream: str) -> int:
-        """Found by bisection: the longest prefix that is the beginning of some sentence."""
-        lo, hi = 0, stream.find(ERROR) if ERROR in stream else len(stream)
-        if self.network.fullmatch(stream[:hi], partial=True):  # cut short: nothing but the end is wrong
-            return hi
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if self.network.fullmatch(stream[:mid], partial=True):
-                lo = mid
+    def _sound(self, stream: str) -> int:
+        """The length of leading whole pieces of the file that are valid, 0 where the file is no list of pieces."""
+        if not self.roles or "file" not in self.lists:
+            return 0
+        depth = done = tries = 0
+        for i, c in enumerate(stream):
+            if c == self.open:
+                depth += 1
+            elif c == self.close:
+                depth -= 1
+                if depth < 0:
+                    return done
+            if depth or c not in self.cuts or stream[i + 1 : i + 2] in self.stays:
+                continue
+            if self.accepts(stream[done : i + 1]):
+                done, tries = i + 1, 0
+            elif tries < 6:
+                tries += 1
             else:
-                hi = mid - 1
-        return lo
+                return done
+        return done
+
+    def first_error(self, stream: str) -> int:
+        """Found by bisection in what follows the sound pieces: the longest prefix that is the beginning of some sentence."""
+        end = stream.find(ERROR) if ERROR in stream else len(stream)
+        sound = self._sound(stream[:end])
+        for begin in (sound, 0) if sound else (0,):
+            part = stream[begin:end]
+            if self.network.fullmatch(part, partial=True):  # cut short: nothing but the end is wrong
+                if begin and end == len(stream) and self.network.fullmatch(part):
+                    continue  # sound pieces in a wrong order
+                return end
+            lo, hi = 0, len(part)
+            while lo < hi:
+                mid = (lo + hi + 1) // 2
+                if self.network.fullmatch(part[:mid], partial=True):
+                    lo = mid
+                else:
+                    hi = mid - 1
+            return begin + lo
+        return end
 
 
 class Lexer(dict):
