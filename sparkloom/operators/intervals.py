@@ -11,9 +11,12 @@ BLOCK = 1024
 
 
 def ranges_of_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start_line, end_line): the bounds of each hit and of each of its nested hits."""
+    """(keys, start_line, end_line): the bounds of each hit and of each of its nested hits that reach out of it."""
     own = F.struct(F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    nested = F.transform(F.col("nested_hits"), lambda n: F.struct(n["start_line"].alias("s"), n["end_line"].alias("e")))
+    # a nested range inside its hit's own adds nothing to what is covered
+    inside = lambda n: F.coalesce((F.col("start_line") <= n["start_line"]) & (n["end_line"] <= F.col("end_line")), F.lit(False))
+    beyond = F.filter(F.col("nested_hits"), lambda n: ~inside(n))
+    nested = F.transform(beyond, lambda n: F.struct(n["start_line"].alias("s"), n["end_line"].alias("e")))
     all_of = F.concat(F.array(own), F.coalesce(nested, F.array().cast("array<struct<s:int,e:int>>")))
     rows = hits.select(*keys, F.explode(all_of).alias("r"))
     return rows.select(*keys, F.col("r.s").alias("start_line"), F.col("r.e").alias("end_line"))
