@@ -80,12 +80,13 @@ def batch_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_
                 pdf = pdf[pdf["v"].map(lambda v: v is not None and len(v) == m.shape[1]).to_numpy(dtype=bool)]
                 if not len(pdf):
                     continue
+                pdf = pdf.sort_values("d", kind="stable")
                 x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
                 n = np.sqrt((x * x).sum(1))
                 keep = n > 0
                 x, own = x[keep] / n[keep, None], pdf["d"].to_numpy()[keep]
                 s = np.round(m @ x.T, 4)
-                take = np.argsort(-s, axis=1, kind="stable")[:, : 4 * k]
+                take = np.argsort(-s, axis=1, kind="stable")[:, :k]  # rows stand by id: a stable sort leaves equal scores so
                 for i in range(len(ids)):
                     best.append(pd.DataFrame({"q": ids[i], "d": own[take[i]], "s": s[i, take[i]]}))
                 if len(best) > 4096:

@@ -89,6 +89,17 @@ def test_batch_top_k_equals_single(spark):
         assert [d for _, d in sorted(got[qid])] == want
 
 
+def test_batch_top_k_ties_by_least_id(spark):
+    # one batch with far more equal vectors than 4 * k, the least ids last; and a nearer vector behind them
+    rows = [(i, [1.0, 1.0]) for i in range(200, 0, -1)] + [(999, [1.0, 0.0]), (0, [0.0, 1.0])]
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, embedding array<float>")
+    df = spark.createDataFrame(rows, "doc_id bigint, embedding array<float>").coalesce(1)
+    got = search.batch_top_k(df, q, 3).orderBy("rank").collect()
+    assert [(r.doc_id, r.score) for r in got] == [(999, 1.0), (1, 0.7071), (2, 0.7071)]
+    named = df.selectExpr("lpad(doc_id, 4, '0') as doc_id", "embedding")
+    assert [r.doc_id for r in search.batch_top_k(named, q, 3).orderBy("rank").collect()] == ["0999", "0001", "0002"]
+
+
 @pytest.mark.parametrize("limit", [3, 10])
 @pytest.mark.parametrize("langs", [(), ("go",), ("go", "py"), ("go", "py", "js", "rs", "ts")])
 def test_adaptive_window_matches_loop(spark, limit, langs):
