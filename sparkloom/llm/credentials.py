@@ -54,6 +54,13 @@ _ASSIGN = re.compile(r"(?:=>|[=:,])[ \t]*(?:\([ \t]*\n?[ \t]*)?(" + _STR + r")((
 # name, closing quote or bracket, type annotation, first part of the operator
 _NAME = re.compile(r"""([A-Za-z_À-ɏ][\w.\-À-ɏ]*)["'`\]]{0,2}[ \t]*(?::[ \t]*(?:\*|&)?[A-Za-z_][\w.<>\[\]]*\??[ \t]*|[ \t]string[ \t]*)?(?::|\?\?|\|\|)?\Z""")
 _LIT = re.compile(_STR)
+# the words of names that take the name of a credential to look it up, not the credential
+_LOOKUP = frozenset("get fetch read load lookup find resolve retrieve require env getenv".split())
+_CALLEE = re.compile(r"(?<!\w)(?<!\w\.)([A-Za-z_\u00c0-\u024f][\w.]*+)\(")
+# within the arguments of a call: literals with those joined to them, callees, brackets, ends of arguments
+_ARGUMENT = re.compile(r"(?P<lit>" + _STR + r")(?P<rest>(?:" + _JOIN + _STR + r")*)|(?P<callee>[A-Za-z_\u00c0-\u024f][\w.]*+)?(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<comma>,)|(?P<space>\s+)|[\w.]+|.", re.S)
+# what makes a literal the key of a pair, or shows that the end of the text cuts its expression short
+_NOT_WHOLE = re.compile(r"\s*+(?:[+.\\]?\s*\Z|:|=>)")
 # unquoted: KEY=value, key: value, --key value
 _BARE = re.compile(r"""(?m)^[ \t]*(?:[-*>$#]+[ \t]+)?(?:(?:export|set|setenv|ENV|ARG|declare|local|readonly|var|-e)[ \t]+)*([A-Za-z_][\w.\-]*)(?:[ \t]?=|:[ \t]+)[ \t]*(?![ \t"'`=:(\[{|>&!])([^\s"'`][^\n"'`]*?)[ \t\r]*$""")
 _FLAG = re.compile(r"""(?<![\w-])--?([A-Za-z_][\w.\-]*)(?:=|[ \t]+)(?!-)("[^"\n]+"|'[^'\n]+'|[^\s"'`][^\s"'`]*(?:;User Id=[^\n"'`]*?(?=[ \t\r]*$))?)""")
@@ -89,6 +96,12 @@ def _words_of(name: str) -> list[str]:
     return [re.sub(r"\d+$", "", w) or w for w in words]
 
 
+@functools.lru_cache(maxsize=200_000)
+def takes_credential(callee: str) -> bool:
+    """Whether a call's arguments go to a credential's name; those of a lookup are names of credentials."""
+    return name_class(callee) == 2 and _LOOKUP.isdisjoint(_words_of(callee.rsplit(".", 1)[-1]))
+
+
 @functools.lru_cache(maxsize=200_000)
 def name_class(name: str) -> int:
     """2: the name of a credential; 1: any other; 0: something about a credential, or a digest, an id, a public key."""
@@ -213,8 +226,34 @@ def find(text: str) -> list[list[tuple[int, int]]]:
             at += n
         found.append([(parts[0][0], parts[0][0]), *spans] if len(parts) > 1 and spans and spans[0][0] >= parts[0][1] else spans)
 
+    def arguments(at: int) -> int:
+        """Reads a call from its callee on, calls within it too, to its end."""
+        calls: list[bool] = []  # for each open bracket, whether a literal that is an argument there counts
+        begins = False
+        for m in _ARGUMENT.finditer(text, at):
+            kind = m.lastgroup if m["lit"] is None else "lit"
+            if kind == "lit":
+                parts = [_inner(m["lit"], m.start("lit"))]
+                parts += [_inner(x[0], m.start("rest") + x.start()) for x in _LIT.finditer(m["rest"])]
+                v = "".join(text[a:b] for a, b in parts)
+                if begins and calls[-1] and not _NOT_WHOLE.match(text, m.end()) and _secret_part(v) is None and (strong(v) or _strong_b64(v)):
+                    found.append(parts)
+            elif kind == "open":
+                calls.append(m["open"] == "(" and m["callee"] is not None and takes_credential(m["callee"]))
+            elif kind == "close":
+                calls.pop()
+                if not calls:
+                    return m.end()
+            if kind != "space":
+                begins = kind in ("open", "comma")
+        return len(text)
+
     for m in _ASSIGN.finditer(text):
         literal(m)
+    at = 0
+    for m in _CALLEE.finditer(text):
+        if m.start() >= at and takes_credential(m[1]):
+            at = arguments(m.start())
     for m in _BARE.finditer(text):
         kind = name_class(m[1])
         v = m[2].rstrip(";,") if kind else ""
@@ -316,8 +355,8 @@ def _lines_found(text: str) -> list[int]:
 def credential_lines(records: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """(keys, line_no): one row per line on which a credential's value begins; lines count from 1 and end with ``\\n``.
 
-    The text is read lexically: literals (with the literals joined to them) assigned or passed to an identifier,
-    unquoted settings, flags and block scalars, and values of known formats anywhere. A value counts if its name is a
+    The text is read lexically: literals (with the literals joined to them) assigned or passed to an identifier (any
+    argument of a call of that name, but of lookups such as ``getPassword``), unquoted settings, flags and block scalars, and values of known formats anywhere. A value counts if its name is a
     credential's and it is no placeholder, reference, id or phrase; or if its format says so; or if it is a long random
     text. Public keys, certificates, digests and values read from an environment don't count.
 

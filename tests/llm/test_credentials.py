@@ -37,6 +37,22 @@ def test_clean(text):
     assert C.redact(text) == text
 
 
+CALLS = [
+    'client.setPassword("Vcdl59O!xSD");', 'new Builder().user("ci").password("Vcdl59O!xSD").build()', "setApiKey('GlaZuJe?3670')", 'b = b.with_token("JorClePe_7191")', 'keyring.set_password("system", "ci", "Vcdl59O!xSD")', 'a = HTTPBasicAuth("ci", "Vcdl59O!xSD")',
+    'setPassword(user(1, "a"), "Vcdl59O!xSD")', 'outer(x, setPassword("Vcdl59O!xSD"))', 'setSecret("Vcdl59" + "O!xSD")', 'setPassword("Vcdl59O!xSD" /* old */)',
+]
+NOT_CALLS = ['getPassword("Db_Main:1")', 'secrets.lookupToken("Db_Main:1")', 'hashToken("subscribe emit")', 'setPassword("changeme")', 'setPasswordLabel("Vcdl59O!xSD")', 'setPassword(p, {"Db_Main:1": 2})', 'setPassword(os.environ["Db_Main:1"])', 'log("Db_Main:1", password)', 'setPassword("Vcdl59O!xSD" +', "password(s) of a(b"]
+
+
+def test_calls():
+    for text in CALLS:
+        assert C._lines_found("x\n" + text + "\ny") == [2], text
+        assert "REDACTED" in C.redact(text) and "O!xSD" not in C.redact(text)
+    for text in NOT_CALLS:
+        assert C._lines_found(text) == [], C.find(text)
+    assert C._lines_found("set_password(\n    user,\n    'Vcdl59O!xSD',\n)") == [3]
+
+
 def test_redaction_keeps_everything_else():
     for text, _ in FOUND:
         got = C.redact(text)
