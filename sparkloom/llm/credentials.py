@@ -76,12 +76,14 @@ _FORMATS = re.compile(
     r"|(?P<curl>(?:[ \t]-u|--user)[ \t=]*['\"]?[\w.@\-]+:(?P<curlpw>[^\s'\"]{4,}))",
     re.ASCII,
 )
-#: Substrings without which the scans for formats and for notes find nothing.
-_FORMAT_HINTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "k_live_", "k_prod_", "sxk_", "sk_", "eyJ", "PRIVATE KEY", "assword=", "ASSWORD=", "wd=", "WD=", "Basic ", "Bearer ", " -u", "--user")
-_NOTE_HINTS = ("login", "Login", "LOGIN", "log in", "log-in", "Log in", "sign in", "Sign in", "sign-in", "psql", "mysql", "sso", "SSO", "vpn", "VPN", "credential", "Credential", "creds", "fallback", "account")
+#: Substrings of the lower-cased text without which the scan for formats finds nothing.
+_FORMAT_HINTS = ("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "k_live_", "k_prod_", "sx_", "sk_", "sxk_", "skk_", "eyj", "private key", "password=", "pwd=", "basic", "bearer", " -u", "\t-u", "--user")
+#: The words at which a note begins. Lower-cased ASCII text without any has none; other text is always scanned, as case-
+#: insensitive patterns match some letters that lower-casing leaves.
+_NOTE_WORDS = ("log in", "log-in", "login", "sign in", "sign-in", "signin", "psql", "mysql", "sso", "vpn", "password", "passwort", "credentials", "credential", "creds", "account", "user", "fallback")
 # a login written out in a comment or in prose: a word of logging in, a user, a separator, the password
 _NOTE = re.compile(
-    r"(?i)\b(?:log[ -]?in|sign[ -]?in|psql|mysql|sso|vpn|password|passwort|credentials?|creds|account|user|fallback)\b(?:(?!--)[^\n\"'`])*?[ \t(:][a-z][\w.@\-]{2,31}"
+    r"(?i)\b(?:" + "|".join(_NOTE_WORDS) + r")\b(?:(?!--)[^\n\"'`])*?[ \t(:][a-z][\w.@\-]{2,31}"
     r"(?:[ \t]+/[ \t]+|[ \t]*:[ \t]*|,[ \t]+|[ \t]+with(?:[ \t]+password)?[ \t]+|[ \t]+password(?:[ \t]+is)?:?[ \t]+|[ \t]+pw:?[ \t]+)([^\s\"'`]{6,}?)[,.;)]*(?=[ \t\r,]|$)",
     re.M,
 )
@@ -264,7 +266,8 @@ def find(text: str) -> list[list[tuple[int, int]]]:
             found.append([(m.start(2) + part[0], m.start(2) + part[1])])
         elif kind == 2 and strong(v) or kind == 1 and "=" in text[m.end(1) : m.start(2)] and random_text(v):
             found.append([(m.start(2), m.start(2) + len(v))])
-    if any(x in text for x in _FORMAT_HINTS) or "://" in text and "@" in text:
+    lower = text.lower()
+    if any(x in lower for x in _FORMAT_HINTS) or "://" in text and "@" in text:
         for m in _FORMATS.finditer(text):
             p = _span_of(m, text)
             if p:
@@ -274,7 +277,7 @@ def find(text: str) -> list[list[tuple[int, int]]]:
             s, e = (m.start(2) + 1, m.end(2) - 1) if m[2][0] in "\"'" else m.span(2)
             if strong(text[s:e]):
                 found.append([(s, e)])
-    if any(x in text for x in _NOTE_HINTS):
+    if not text.isascii() or any(x in lower for x in _NOTE_WORDS):
         for m in _NOTE.finditer(text):
             if strong(m[1]) and (_classes(m[1]) >= 3 or _SPOKEN.match(m[1])) and "base64," not in m[1] and "//" not in m[1]:
                 found.append([m.span(1)])
