@@ -69,7 +69,7 @@ _FORMATS = re.compile(
     r"(?P<aws>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b)|(?P<gh>\bgh[pousr]_[A-Za-z0-9]{30,})|(?P<slack>\bxox[abeoprs]-[A-Za-z0-9-]{20,})|(?P<stripe>\b[sr]k_(?:live|prod)_[A-Za-z0-9]{16,})"
     r"|(?P<sxk>\bs[xk]k?_[0-9a-f]{32,})|(?P<jwt>\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,})"
     r"|(?P<pem>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)"
-    r"|(?P<url>\b[a-z][a-z0-9+.\-]*://[^\s/:@\"'`]*:(?P<urlpw>[^\s/@\"'`]+)@)"
+    r"|(?P<url>(?<=[a-z0-9+.\-])://[^\s/:@\"'`]*:(?P<urlpw>[^\s/@\"'`]+)@)"
     r"|(?P<conn>(?<=[;&?\"'`])[ \t]*(?i:password|pwd)=(?P<connpw>[^;&\s\"'`]{4,}))"
     r"|(?P<basic>\bBasic[ \t]+(?P<basicpw>[A-Za-z0-9+/]{8,}={0,2}))"
     r"|(?P<bearer>\bBearer[ \t]+(?P<bearerpw>[A-Za-z0-9_\-.~+/]{20,}=*))"
@@ -87,6 +87,9 @@ _NOTE = re.compile(
     r"(?:[ \t]+/[ \t]+|[ \t]*:[ \t]*|,[ \t]+|[ \t]+with(?:[ \t]+password)?[ \t]+|[ \t]+password(?:[ \t]+is)?:?[ \t]+|[ \t]+pw:?[ \t]+)([^\s\"'`]{6,}?)[,.;)]*(?=[ \t\r,]|$)",
     re.M,
 )
+# the beginning of a URL's scheme, which is read backwards from its "://" so that long values take linear time
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+_SCHEME_START = re.compile(r"\b[a-z]", re.ASCII)
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _ESCAPED_NL = re.compile(r"\\n|\\r")
 
@@ -136,7 +139,7 @@ _SPOKEN = re.compile(r"^[a-z]{3,}(?:-[a-z]{3,})+\d{1,4}$")
 
 def strong(v: str) -> bool:
     """Whether a text given to a credential's name is a value: not a placeholder, word, phrase, id or reference."""
-    if len(v) < 6 or len(v) > 4096 or re.search(r"\s", v) or _PLACEHOLDER.search(v) or _UUID.match(v) or _NOT_SECRET_VALUE.search(v) or v.isdigit():
+    if len(v) < 6 or re.search(r"\s", v) or _PLACEHOLDER.search(v) or _UUID.match(v) or _NOT_SECRET_VALUE.search(v) or v.isdigit():
         return False
     if re.search(r"[{}()<>]|\$[A-Z_{]", v):
         return False
@@ -181,6 +184,12 @@ def _span_of(m: re.Match, text: str) -> tuple[int, int] | None:
         e = _PEM_END.search(text, m.end())
         other = text.find("-----BEGIN", m.end())
         return (m.start(), e.end()) if e and not m.end() < other < e.start() else None
+    if kind == "url":
+        a = m.start()
+        while a and text[a - 1] in _SCHEME:
+            a -= 1
+        if not _SCHEME_START.search(text, a, m.start()):
+            return None
     g = {"url": "urlpw", "conn": "connpw", "basic": "basicpw", "bearer": "bearerpw", "curl": "curlpw"}.get(kind, kind)
     s = m[g]
     if kind in ("url", "conn", "curl") and (_PLACEHOLDER.search(s) or re.search(r"[{}<>]|^\$", s)):
@@ -209,7 +218,7 @@ def find(text: str) -> list[list[tuple[int, int]]]:
         if rest:
             parts += [_inner(x[0], m.start(2) + x.start()) for x in _LIT.finditer(rest)]
         v = "".join(text[a:b] for a, b in parts)
-        if not v or len(v) > 20_000:
+        if not v:
             return
         if _open_ended(text, m):
             return

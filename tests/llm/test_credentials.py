@@ -1,3 +1,4 @@
+import base64
 import random
 import re
 
@@ -67,6 +68,18 @@ def test_formats_alone(text):
     assert C._lines_found("?\n" + text) == [2]
 
 
+def test_long_values():
+    rng = random.Random(5)
+    for n in (5_000, 60_000):
+        v = base64.b64encode(bytes(rng.randrange(256) for _ in range(n))).decode()
+        wrapped = "\n  ".join(v[i : i + 76] for i in range(0, len(v), 76))
+        parts = '" +\n  "'.join(v[i : i + 76] for i in range(0, len(v), 76))
+        for text in (f'KEYSTORE_SECRET = "{v}"\n', f"KEYSTORE_SECRET={v}\n", f'setSecret("{v}")\n', f"keystore_secret: |\n  {wrapped}\n", f'KEYSTORE_SECRET = "{parts}"\n'):
+            assert C._lines_found(text) == [2 if ": |" in text else 1]
+            assert v[:60] not in C.redact(text) and v[-60:] not in C.redact(text)
+    assert C._lines_found('token = "' + "lorem ipsum " * 2_000 + '"') == []
+
+
 def test_redaction_keeps_everything_else():
     for text, _ in FOUND:
         got = C.redact(text)
