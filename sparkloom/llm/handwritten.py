@@ -99,7 +99,7 @@ def _power(n: int) -> np.uint64:
 def _head(lines: list[str]) -> str:
     """The comments before the first line of code."""
     out, block = [], False
-    for x in lines[:40]:
+    for x in lines:
         s = x.strip()
         if not s:
             continue
@@ -119,18 +119,26 @@ def _head(lines: list[str]) -> str:
 def _tail(lines: list[str]) -> str:
     """The comments after the last line of code."""
     out: list[str] = []
-    block = False
-    for x in reversed(lines[-40:]):
+    block: list[str] | None = None  # the lines of a block comment whose beginning is not reached
+    for x in reversed(lines):
         s = x.strip()
         if not s:
             continue
-        if block:
-            block = not s.startswith("/*")
-        elif s.endswith("*/"):
-            block = not s.startswith("/*")
-        elif not s.startswith(("//", "#", "--", ";", "<!--")):
+        if block is not None:
+            if "*/" in s or "/*" in s and not s.startswith(("/*", "*")):
+                break  # the block follows code on its line, or is none
+            block.append(s)
+            if s.startswith("/*"):
+                out += block
+                block = None
+        elif s.endswith("*/") and not s.startswith("/*"):
+            if "/*" in s and not s.startswith("*"):
+                break
+            block = [s]
+        elif s.endswith("*/") or s.startswith(("//", "#", "--", ";", "<!--")):
+            out.append(s)
+        else:
             break
-        out.append(s)
     return "\n".join(out)
 
 
@@ -139,7 +147,7 @@ def reason(path: str, text: str) -> str | None:
     base = path.rsplit("/", 1)[-1]
     ext = base[base.rfind(".") :].lower() if "." in base else ""
     lines = text.split("\n")
-    if _LOCK_NAME.search(path) or _LOCK_TEXT.search(text[:4000]):
+    if _LOCK_NAME.search(path) or _LOCK_TEXT.search(text):
         return "lock"
     if _VENDOR_DIR.search(path):
         return "third_party"

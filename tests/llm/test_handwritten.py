@@ -20,6 +20,19 @@ def test_reason(path, text, why):
     assert H.reason(path, text) == why
 
 
+HEAD = "".join(f"// Line {i} of a licence.\n" for i in range(60))
+LONG = [
+    ("a/x.js", HEAD + "// Code generated by x. DO NOT EDIT.\n" + BODY, "generated"), ("a/x.js", "/*\n" + " * text\n" * 60 + " * Bundled copy of the x library.\n */\n" + BODY, "third_party"),
+    ("a/x.js", BODY + "// Code generated by x. DO NOT EDIT.\n" + HEAD, "generated"), ("a/x.js", BODY + "/*\n * Code generated by x. DO NOT EDIT.\n" + " * text\n" * 60 + " */\n", "generated"), ("a/x.js", HEAD + BODY + HEAD, None),
+    ("a/x.js", 'var s = "code generated by x";\n' + BODY + "f(); /* done */\n", None), ("a/x.js", 'var s = "code generated by x";\n' + BODY + "f(); /* done\n here */\n", None), ("a/deps.txt", "name: x\n" * 1_000 + "lockfileVersion: 9\n", "lock"),
+]
+
+
+@pytest.mark.parametrize(("path", "text", "why"), LONG)
+def test_marks_beyond_long_heads_and_tails(path, text, why):
+    assert H.reason(path, text) == why
+
+
 def test_fingerprints():
     codes = H._Codes()
     a = H.fingerprints(BODY, codes)
