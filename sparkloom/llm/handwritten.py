@@ -175,9 +175,33 @@ def reason(path: str, text: str) -> str | None:
             total = sum(map(len, body))
             if sum(len(x) for x in body if x.lstrip()[:1] in _DATA_START and _DATA_LINE.match(x)) >= 0.8 * total:
                 return "data"
+        if len(text) >= _DATA_SIZE and _literal_share(_PEM.sub("", _WHOLE_COMMENT.sub("", text))) >= 0.8:
+            return "data"
     return None
 
 
+#: Characters from which a text is judged by its share of literals, however few its lines.
+_DATA_SIZE = 1000
+# keys and certificates within a script are no table
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----[^-]*+-----END [A-Z0-9 ]+-----")
+_LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`]*+`|(?<![\w.])(?:0x[0-9a-fA-F]++|\d[\d._]*+(?:[eE][-+]?\d++)?)[fFLlu]?(?!\w)|(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{40,}+")
+
+
+def _literal_share(text: str) -> float:
+    """The part that literals have of a text, without white space between them and without brackets, commas, colons and
+    signs. A long string that reads as text (a query, a message) is none of them."""
+    n = 0
+    spaces = sum(map(text.count, " \t\r\n"))
+    for m in _LITERAL.finditer(text):
+        v = m[0]
+        inner = sum(map(v.count, " \t\r\n"))
+        spaces -= inner
+        if len(v) <= 200 or inner <= 0.04 * len(v) or sum(map(str.isalpha, v)) <= 0.5 * len(v):
+            n += len(v)
+    marks = sum(map(_STRING.sub("", text).count, "[](){},;:-+"))
+    return n / max(1, len(text) - spaces - marks)
+
+
 _DATA_START = frozenset("\"'-+0123456789[({])},;ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz/=")
 
 

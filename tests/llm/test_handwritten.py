@@ -33,6 +33,22 @@ def test_marks_beyond_long_heads_and_tails(path, text, why):
     assert H.reason(path, text) == why
 
 
+_RNG = random.Random(2)
+BLOB = "".join(_RNG.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(50_000))
+WRAPPED = "\n".join(BLOB[i : i + 64] for i in range(0, len(BLOB), 64))
+SHORT = [
+    ("a/x.js", f'const DATA = "{BLOB}";\n', "data"), ("a/x.js", HEAD + f'export const DATA = "{BLOB}";\n', "data"), ("a/x.py", "T = [" + ", ".join(str(_RNG.randint(0, 99)) for _ in range(2_000)) + "]\n", "data"), ("a/x.go", "package p\n\nvar t = []int{\n" + ("\t" + "12, 34, -56, " * 200 + "\n") * 3 + "}\n", "data"),
+    ("a/x.py", "T = [" + ", ".join(f'"New {i} Street"' for i in range(300)) + "]\n", "data"), ("a/x.py", 'Q = "' + "select a, b from t where c " * 300 + '"\n', None), ("a/x.py", "T = [1, 2, 3]\n", None), ("a/x.py", BODY * 10, None),
+    ("a/x.py", "\n".join(f'NAME_OF_A_{i} = call_{i}("v{i}", {i})' for i in range(9)) + "\n" + HEAD.replace("//", "#"), None), ("a/x.py", HEAD.replace("//", "#") + "X = 1\n", None),
+    ("a/x.sh", "cat > c.pem <<'END'\n-----BEGIN CERTIFICATE-----\n" + WRAPPED[:1_300] + "\n-----END CERTIFICATE-----\nEND\n" + "chmod 6 c d e f\n" * 24, None), ("a/x.sh", "base64 -d > c.bin <<'END'\n" + WRAPPED + "\nEND\n", "data"),
+]
+
+
+@pytest.mark.parametrize(("path", "text", "why"), SHORT)
+def test_data_on_few_lines(path, text, why):
+    assert H.reason(path, text) == why
+
+
 def test_fingerprints():
     codes = H._Codes()
     a = H.fingerprints(BODY, codes)
