@@ -117,6 +117,14 @@ def _clean_block(lines: list[str]) -> str:
 
 
 _DECORATOR = re.compile(r"^\s*@[A-Za-z_][\w.]*")
+_QUOTED = re.compile(r"\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|`[^`]*+`")
+
+
+def _bare(line: str, language: str | None) -> str:
+    """A line of code without the contents of its strings and the comment at its end."""
+    x = _QUOTED.sub('""', line)
+    at = x.find("#" if language in _HASH else "//")
+    return (x if at < 0 else x[:at]).rstrip()
 
 
 def comment_above(lines: list[str], at: int, language: str | None) -> str:
@@ -126,14 +134,15 @@ def comment_above(lines: list[str], at: int, language: str | None) -> str:
         s = lines[i].strip()
         if _DECORATOR.match(s):
             i -= 1
-        elif s.endswith(")") and not s.startswith(("//", "#", "*", "/*")):
-            j = i
-            while j >= 0 and i - j < 12 and lines[j].strip() and not _DECORATOR.match(lines[j]):
+        elif not s.startswith(("//", "#", "*", "/*")) and _bare(s, language).endswith(")"):
+            j, depth = i, 0
+            while j >= 0:  # back to the line that opens the call
+                x = _bare(lines[j], language)
+                depth += x.count(")") - x.count("(")
+                if depth <= 0:
+                    break
                 j -= 1
-            if j < 0 or not _DECORATOR.match(lines[j]) or j == i:
-                break
-            depth = sum(x.count("(") - x.count(")") for x in lines[j : i + 1])
-            if depth or "(" not in lines[j]:
+            if j < 0 or depth or not _DECORATOR.match(lines[j]) or j == i:
                 break
             i = j - 1
         else:
@@ -171,7 +180,7 @@ _GAP = re.compile(r"(?:[ \t\r]*(?:#[^\n]*)?\n)*[ \t]*")
 def docstring(text: str, start: int) -> str:
     """The string that opens the body of the Python declaration at offset ``start``."""
     depth, pos = 0, -1
-    for m in _SIGNATURE.finditer(text, start, start + 20_000):
+    for m in _SIGNATURE.finditer(text, start):
         t = m[0]
         if t in "([{" and len(t) == 1:
             depth += 1

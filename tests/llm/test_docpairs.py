@@ -42,6 +42,18 @@ def test_places():
     assert doc("x", 5, "go") == "" and doc("x", 0, "go") == "" and doc("", 1, None) == ""
 
 
+def test_long_decorators_and_signatures():
+    java = "/** Reads it. */\n@ApiResponses(value = {\n" + '    @ApiResponse(code = 200, description = "a :( b"),\n\n' * 20 + "}) // end\n@Override\npublic void f() {\n"
+    assert doc(java, java.count("\n"), "java") == "Reads it."
+    python = "# Reads it.\n@d(\n" + "    1,  # (\n" * 30 + "\n)  # noqa\ndef f():\n    pass\n"
+    assert doc(python, 35, "python") == "Reads it."
+    ts = "// Reads it.\n@D({\n" + "  a: b(1),\n" * 30 + "})\nf() {\n"
+    assert doc(ts, 34, "typescript") == "Reads it."
+    assert doc("// Reads it.\nd(\n" + "  1,\n" * 30 + ")\nf() {\n", 34, "typescript") == ""
+    assert doc("// Reads it.\n\n@D(\n" + "  1,\n" * 30 + ")\nf() {\n", 35, "typescript") == ""
+    assert doc("def f(\n" + "".join(f"    argument_{i}: int = {i},\n" for i in range(2_000)) + "):\n    'Reads it.'\n", 1, "python") == "Reads it."
+
+
 SYM = "symbol_id string, file_id bigint, project_path string, name string, kind string, file_path string, line int, end_line int, language string, signature string, parent_name string"
 
 
