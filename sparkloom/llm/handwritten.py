@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, spread
@@ -18,7 +18,12 @@ K = 30
 WINDOW = 30
 #: A file is a vendored copy if this part of its fingerprints occurs in at least so many projects.
 RECURRING = 0.6
-PROJECTS = 3
+PROJECTS = 2
+#: A directory name is one of third-party code if this part of the files below directories of that name are copies, where
+#: a name that conventions reserve for such code begins with so many imagined copies and any other with as many files that
+#: are none. Copies found by fingerprints outweigh the convention as soon as a name has more files than that.
+COPIED_DIR = 0.4
+PRIOR = 8
 
 # What tools write at the head of the files they produce, in several languages.
 _GENERATED = re.compile(
@@ -33,8 +38,8 @@ _NOT_GENERATED = re.compile(r"(?i)\b(?:originally|formerly|initially|once|first|
 # What third parties' files say of themselves.
 _UPSTREAM = re.compile(r"(?i)\bbundled copy of\b|\bupstream release\b|\bupstream authors\b|\bvendored (?:from|copy|by)\b|\bcopied (?:verbatim )?from upstream\b|\bimported from upstream\b|\bthird[- ]party (?:code|library|copy)\b")
 _BANNER = re.compile(r"^\s*/\*![^*]{0,80}\bv?\d+\.\d+")
-# Directories that package managers and conventions reserve for third-party code.
-_VENDOR_DIR = re.compile(r"/(?:vendor|third[_-]?party|node_modules|site-packages|dist-packages|_vendor(?:ed)?|external|externals|Pods|bower_components|jspm_packages|deps|Carthage|Godeps)/|/[A-Za-z][\w-]*-\d+\.\d+\.\d+/")
+# Directory names that package managers and conventions reserve for third-party code.
+CONVENTIONAL = ("vendor", "third_party", "thirdparty", "third-party", "node_modules", "site-packages", "dist-packages", "_vendor", "_vendored", "external", "externals", "Pods", "bower_components", "jspm_packages", "deps", "Carthage", "Godeps")
 _LOCK_NAME = re.compile(r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|uv\.lock|Pipfile\.lock|Cargo\.lock|Gemfile\.lock|composer\.lock|go\.sum|packages\.lock\.json|mix\.lock|Podfile\.lock|pubspec\.lock|\.terraform\.lock\.hcl|bun\.lock|flake\.lock|gradle\.lockfile)$")
 _LOCK_TEXT = re.compile(r"\"lockfileVersion\"\s*:|^lockfileVersion\s*:|^# yarn lockfile|^\[\[package\]\]|^[\w.\-/]+ v[\w.\-+]+(?:/go\.mod)? h1:|\"_meta\"\s*:\s*\{\s*\"hash\"|\"content-hash\"\s*:|^# This file is maintained automatically by", re.M)
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
@@ -62,12 +67,12 @@ class _Codes(dict):
 
 
 def fingerprints(text: str, codes: dict, k: int = K, window: int = WINDOW) -> np.ndarray:
-    """Winnowed hashes of the runs of k tokens of a text without its comment lines and white space; a text of fewer
-    than k tokens has one, of all of them. Sorted, distinct, signed 64 bits."""
+    """Winnowed hashes of the runs of k tokens of a text without its comment lines and white space. A text of fewer than k
+    tokens has none: so little may be the same in two places by chance. Sorted, distinct, signed 64 bits."""
     h = np.fromiter(map(codes.__getitem__, _TOKEN.findall(_WHOLE_COMMENT.sub("", text))), np.uint64)
-    if not len(h):
+    n = k
+    if len(h) < n:
         return np.zeros(0, np.int64)
-    n = min(k, len(h))
     x, w, have, out, done = h, 1, np.uint64(0x9E3779B97F4A7C15), None, 0
     rest = n
     while rest:  # hash of n codes by doubling
@@ -143,14 +148,12 @@ def _tail(lines: list[str]) -> str:
 
 
 def reason(path: str, text: str) -> str | None:
-    """Why a file is not hand-written, from its own path and content: lock, generated, minified, data or third_party."""
+    """Why a file is not hand-written, from its own name and content: lock, generated, upstream, minified or data."""
     base = path.rsplit("/", 1)[-1]
     ext = base[base.rfind(".") :].lower() if "." in base else ""
     lines = text.split("\n")
     if _LOCK_NAME.search(path) or _LOCK_TEXT.search(text):
         return "lock"
-    if _VENDOR_DIR.search(path):
-        return "third_party"
     if ext in _TEXT:
         return None
     head = _head(lines) + "\n" + _tail(lines)
@@ -158,7 +161,7 @@ def reason(path: str, text: str) -> str | None:
         if any(_GENERATED.search(x) and not _NOT_GENERATED.search(x) for x in head.split("\n")):
             return "generated"
         if _UPSTREAM.search(head):
-            return "third_party"
+            return "upstream"
     numbered = {m[2] for m in _NUMBERED.finditer(text)} if "_00" in text else ()
     if len(numbered) >= (4 if _TOOL_NAME.search(base) else 8):
         return "generated"
@@ -205,14 +208,21 @@ def _literal_share(text: str) -> float:
 _DATA_START = frozenset("\"'-+0123456789[({])},;ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz/=")
 
 
-def not_handwritten(files: DataFrame, k: int = K, window: int = WINDOW, recurring: float = RECURRING, projects: int = PROJECTS) -> DataFrame:
+def not_handwritten(files: DataFrame, k: int = K, window: int = WINDOW, recurring: float = RECURRING, projects: int = PROJECTS, copied_dir: float = COPIED_DIR, prior: int = PRIOR) -> DataFrame:
     """(file_id, reason): files written by a tool, minified or bundled, third-party copies, or data saved as code.
 
-    Lock files, heads and ends written by generators, minified text, tables of literals and third-party heads and
-    directories are seen in the file itself. Third-party copies are found by winnowing: the token stream without comments and white
-    space gives fingerprints; those that occur in at least ``projects`` projects are recurring, and a file whose
-    fingerprints recur to the part ``recurring`` is a copy. The owners' exclude patterns are hints only and decide
-    nothing. A fingerprint of any number of files is counted with map-side combination and never gathered.
+    Third-party copies are found by winnowing. The token stream without comments and white space gives fingerprints; those
+    that occur in at least ``projects`` projects are recurring, and a file whose fingerprints recur to the part
+    ``recurring`` is a ``copy``. What copies are found also tells which directories hold such code: of every directory name
+    the share of copies among the files below it is counted over the corpus, with ``prior`` imagined copies for a name
+    that conventions reserve and as many imagined originals for any other; files below a name with a share of at least
+    ``copied_dir`` are third-party too (``directory``), though nobody else has a copy of them here. A convention thus
+    decides only until the corpus has spoken. The owners' exclude patterns are hints only and decide nothing.
+
+    Lock files, heads and ends that say a tool (``generated``) or a third party (``upstream``) wrote the file, ``minified``
+    text and tables of literals (``data``) are seen in the file itself. A file with several reasons has the first of:
+    copy, lock, generated, minified, data, upstream, directory. Fingerprints and names of any number of files are counted
+    with map-side combination and never gathered.
 
     Null or blank content gives no row; a null path counts as an empty one, rows with a null project or file_id belong to
     one unknown project or file. Repeated payloads of a file count once in the result. An empty input gives an empty
@@ -230,14 +240,36 @@ def not_handwritten(files: DataFrame, k: int = K, window: int = WINDOW, recurrin
                     fps.append(fingerprints(text, codes, k, window))
                 off = np.cumsum([0, *map(len, fps)]).astype(np.int32)
                 values = pa.array(np.concatenate(fps) if fps else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("project_path"), pa.array(why, pa.string()), pa.ListArray.from_arrays(pa.array(off), values)], ["file_id", "project_path", "reason", "fps"])
+                yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("project_path"), b.column("path"), pa.array(why, pa.string()), pa.ListArray.from_arrays(pa.array(off), values)], ["file_id", "project_path", "path", "reason", "fps"])
 
     checkpoint_dir(files.sparkSession)
-    seen = spread(src).mapInArrow(run, "file_id bigint, project_path string, reason string, fps array<bigint>").checkpoint()
-    prints = seen.select("file_id", F.coalesce("project_path", F.lit("")).alias("project_path"), F.explode("fps").alias("fp"))
-    common = prints.select("fp", "project_path").distinct().groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") >= projects).select("fp")
+    seen = spread(src).mapInArrow(run, "file_id bigint, project_path string, path string, reason string, fps array<bigint>").checkpoint()
+    project = F.coalesce("project_path", F.lit(""))
+    prints = seen.select("file_id", project.alias("project_path"), F.explode("fps").alias("fp"))
+    # least and greatest project of a fingerprint tell whether it has two; more are counted
+    if projects == 2:
+        common = prints.groupBy("fp").agg(F.min("project_path").alias("a"), F.max("project_path").alias("z")).where("a <> z").select("fp")
+    else:
+        common = prints.select("fp", "project_path").distinct().groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") >= projects).select("fp")
     hits = prints.join(common, "fp").groupBy("file_id").agg(F.count("*").alias("hits"))
     sizes = seen.groupBy("file_id").agg(F.sum(F.size("fps")).alias("all"))
-    copies = hits.join(sizes, "file_id").where(F.col("hits") >= recurring * F.col("all")).select("file_id", F.lit("third_party").alias("reason"))
+    copies = hits.join(sizes, "file_id").where(F.col("hits") >= recurring * F.col("all")).select("file_id").checkpoint()
+    named = seen.select("file_id", F.explode(directory_names(F.col("path"), project)).alias("dir")).distinct()
+    rate = (F.count("_c") + F.when(F.col("dir").isin(*CONVENTIONAL), prior).otherwise(0)) / (F.count("*") + prior)
+    marked = named.join(copies.withColumn("_c", F.lit(1)), "file_id", "left")
+    third = marked.groupBy("dir").agg(rate.alias("rate")).where(F.col("rate") >= copied_dir).select("dir")
+    below = named.join(third, "dir").select("file_id", F.lit("directory").alias("reason"))
     own = seen.where("reason is not null").select("file_id", "reason")
-    return own.unionByName(copies).groupBy("file_id").agg(F.min("reason").alias("reason"))
+    every = own.unionByName(copies.withColumn("reason", F.lit("copy"))).unionByName(below)
+    rank = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason"))
+    return every.groupBy("file_id").agg(F.min_by("reason", rank).alias("reason"))
+
+
+REASONS = ("copy", "lock", "generated", "minified", "data", "upstream", "directory")
+
+
+def directory_names(path: Column, project: Column) -> Column:
+    """The distinct names of the directories between a project's root and a file."""
+    below = F.when(F.startswith(path, F.concat(project, F.lit("/"))), F.substr(path, F.length(project) + 2)).otherwise(path)
+    parts = F.split(below, "/")
+    return F.array_distinct(F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda x: x != ""))

@@ -82,6 +82,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, d, "file_payloads")).select("file_id")
 
 
+@query
+def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """How many files each reason accounts for."""
+    return handwritten.not_handwritten(table(spark, d, "file_payloads")).groupBy("reason").agg(F.count("*").alias("files"))
+
+
 @query
 def p4_handwritten(spark: SparkSession, d: str) -> DataFrame:
     """The files that remain, with the number of bytes of their content."""
