@@ -130,19 +130,52 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_counts(docs).select("doc_id", "source", "n_tokens").checkpoint()
 
 
+def _mixture(spark: SparkSession, d: str, total: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes, goals, mixture)"""
+    docs, targets = _sizes(spark, d), table(spark, d, "mix_targets")
+    goals = mixing.plan(docs, targets, total=total).checkpoint()
+    return docs, goals, mixing.mix(docs, targets, goals=goals)
+
+
 @query
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Shares of tokens that the sources reach in the mixture."""
-    docs = _sizes(spark, d)
-    targets = table(spark, d, "mix_targets")
-    return mixing.report(mixing.mix(docs, targets), docs, targets)
+    """Shares of tokens that the sources reach in a mixture of the corpus's own size: small sources are clamped at their
+    most repeats, and the others take over what they lack."""
+    docs, goals, mixed = _mixture(spark, d, mixing.CORPUS)
+    return mixing.report(mixed, docs, goals)
+
+
+@query
+def p8_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the largest mixture in which every source keeps its target share."""
+    docs, goals, mixed = _mixture(spark, d, None)
+    return mixing.report(mixed, docs, goals)
 
 
 @query
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """Each used document with its number of repetitions."""
-    docs = _sizes(spark, d)
-    return mixing.mix(docs, table(spark, d, "mix_targets"))
+    return _mixture(spark, d, mixing.CORPUS)[2]
+
+
+@query
+def p8_byte_goals(spark: SparkSession, d: str) -> DataFrame:
+    """The goals of the sources where sizes are bytes, which SQL can count."""
+    docs = table(spark, d, "documents").select("source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    g = mixing.plan(docs, table(spark, d, "mix_targets"), size_col="bytes", total=mixing.CORPUS)
+    return g.select("source", F.col("tokens_there").alias("bytes_there"), F.round("goal", 3).alias("goal"), "clamped")
+
+
+ORACLE["p8_byte_goals"] = """
+WITH s AS (
+  SELECT t.source, coalesce(target_share, 0) AS w, max_repeats, coalesce((SELECT sum(octet_length(encode(text))) FROM documents d WHERE d.source = t.source), 0)::BIGINT AS n FROM mix_targets t WHERE t.source IS NOT NULL
+), l AS (SELECT *, n * max_repeats AS cap, n * max_repeats / w AS r FROM s WHERE w > 0 AND n * max_repeats > 0),
+k AS (
+  SELECT a.source, a.r, ((SELECT sum(n) FROM l) - coalesce((SELECT sum(cap) FROM l b WHERE b.r < a.r), 0))::DOUBLE / (SELECT sum(w) FROM l b WHERE b.r >= a.r) AS level FROM l a
+), v AS (SELECT arg_min(level, r) FILTER (level <= r * (1 + 1e-12)) AS level FROM k)
+SELECT s.source, s.n AS bytes_there, round(coalesce(CASE WHEN l.source IS NULL THEN 0 WHEN v.level IS NULL OR v.level * s.w > l.cap * (1 + 1e-12) THEN l.cap ELSE v.level * s.w END, 0)::DOUBLE, 3) AS goal, coalesce(v.level IS NULL OR v.level * s.w > l.cap * (1 + 1e-12), false) AND l.source IS NOT NULL AS clamped
+FROM s CROSS JOIN v LEFT JOIN l USING (source)
+"""
 
 
 @query

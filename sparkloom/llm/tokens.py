@@ -7,9 +7,11 @@ import functools
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -24,7 +26,7 @@ SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{
 JAVA_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 #: Bytes of text that one block of the position join holds.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 
 @functools.lru_cache(maxsize=4)
@@ -51,20 +53,20 @@ def _splitter():
     return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|[{space}]+(?![^{space}])|[{space}]+").findall
 
 
-class _Words(dict):
-    """word -> token ids; a word the table lacks is encoded on first use. Emptied when it grows past a bound."""
+class _Lengths(dict):
+    """word -> number of its tokens, found on first use; kept up to a bound."""
 
     LIMIT = 400_000
 
-    def __init__(self, name: str, folder: str, known=()):
-        super().__init__(known)
+    def __init__(self, name: str, folder: str):
+        super().__init__()
         self.enc = _encoding(name, folder)
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.enc.encode_ordinary(word)
+    def __missing__(self, word: str) -> int:
+        n = len(self.enc.encode_ordinary(word))
         if len(self) < self.LIMIT:
-            self[word] = ids
-        return ids
+            self[word] = n
+        return n
 
 
 def words(text: Column) -> Column:
@@ -75,20 +77,24 @@ def words(text: Column) -> Column:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = BYTE_BPE_50K, folder: str = TOKENIZER_DIR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, ids array<int>): the token ids of every text, without special tokens.
 
-    A distinct-word table: the words are split in Spark, made distinct per block of documents and then over
-    the corpus, each distinct word is encoded once, and the ids go back to the blocks, where they are joined
-    to the documents' words by position. Only distinct (block, word) pairs and the texts are shuffled, not
-    the occurrences of words.
+    A distinct-word table: the texts are split into words in Spark, once; the words are made distinct per block of
+    documents and then over the corpus, and each distinct word is encoded once. The ids go back to the blocks and are
+    joined to the words of each document by position; no text is split or encoded a second time, and a word that the table
+    lacks is an error. Only distinct (block, word) pairs and the documents' word lists are shuffled, not single
+    occurrences of words. A block holds about ``block_bytes`` of text, however often a word occurs.
 
     A null and an empty text both get an empty list; strings that look like special tokens are ordinary
     text; each input row gives one row (repeated rows stay repeated); an empty input gives an empty result;
     extra columns are ignored.
     """
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    total = d.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
-    blocks = int(total // block_bytes) + 1
-    d = d.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
-    pairs = materialize(d.select("_b", F.explode(words(F.col("_t"))).alias("_w")).distinct())  # read twice
+    seen = Observation()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # rows are numbered as they are written: ids may be null or repeated
+    d = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_n"), words(text).alias("_ws"), F.octet_length(text).alias("_z"))
+    d = materialize(d.observe(seen, F.sum("_z").alias("bytes")).drop("_z"))
+    blocks = int((seen.get["bytes"] or 0) // block_bytes) + 1
+    d = d.withColumn("_b", F.pmod(F.xxhash64("_n"), F.lit(blocks)))
+    pairs = materialize(d.select("_b", F.explode(F.array_distinct("_ws")).alias("_w")).distinct())  # read twice
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(name, folder)
@@ -100,20 +106,26 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name
     back = pairs.join(table, "_w").select(F.col("_b").alias("_rb"), "_w", "_ids")
 
     def by_position(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = _Words(name, folder, zip(right.column("_w").to_pylist(), right.column("_ids").to_pylist()))
-        get, split = known.__getitem__, _splitter()
-        out = []
-        for t in left.column("_t").to_pylist():
-            ids: list[int] = []
-            for x in map(get, split(t)) if t else ():
-                ids += x
-            out.append(ids)
-        return pa.table({id_col: left.column("_id"), "ids": pa.array(out, pa.list_(pa.int32()))})
+        lists = _whole(left.column("_ws"))
+        size = np.asarray(pc.list_value_length(lists))
+        found = pc.index_in(lists.flatten(), value_set=_whole(right.column("_w")))
+        if found.null_count:
+            raise ValueError("a word without token ids")
+        ids = _whole(right.column("_ids")).take(found)
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(ids)), dtype=np.int64)])
+        offsets = ends[np.concatenate([[0], np.cumsum(size, dtype=np.int64)])].astype(np.int32)
+        return pa.table({id_col: left.column("_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), ids.flatten())})
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return d.groupBy("_b").cogroup(back.groupBy("_rb")).applyInArrow(by_position, f"`{id_col}` {id_type}, ids array<int>")
 
 
+def _whole(c: pa.ChunkedArray) -> pa.Array:
+    """A column in one piece."""
+    x = c.combine_chunks()
+    return pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) and x.num_chunks else pa.array([], c.type) if isinstance(x, pa.ChunkedArray) else x
+
+
 def pieces(spark, name: str = BYTE_BPE_50K, folder: str = TOKENIZER_DIR) -> DataFrame:
     """(token_id int, piece binary): the vocabulary as a table; its size is that of the vocabulary file."""
     return spark.createDataFrame([(v, bytearray(k)) for k, v in _ranks(name, folder).items()], "token_id int, piece binary")
@@ -142,11 +154,3 @@ def token_counts(docs: DataFrame, text_col: str = "text", out_col: str = "n_toke
             yield pd.Series([sum(map(get, split(t))) if t else 0 for t in s], dtype="int64")
 
     return docs.withColumn(out_col, counted(F.col(text_col)))
-
-
-class _Lengths(_Words):
-    def __missing__(self, word: str) -> int:
-        n = len(self.enc.encode_ordinary(word))
-        if len(self) < self.LIMIT:
-            self[word] = n
-        return n

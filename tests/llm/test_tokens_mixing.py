@@ -63,10 +63,37 @@ def test_mix(spark):
         rows = m.collect()
         caps = {"big": 1, "mid": 2, "small": 3}
         assert rows and all(1 <= r.repeats <= caps[r.source] for r in rows)
-        rep = {r.source: r for r in mixing.report(m, df, t).collect()}
+        rep = {r.source: r for r in mixing.report(m, df, mixing.plan(df, t)).collect()}
         for s, w in (("big", 0.4), ("mid", 0.35), ("small", 0.25)):
             assert abs(rep[s].share - w) < 0.01
         assert rep["none"].tokens_used == 0 and rep["null"].tokens_used == 0
     again = {(r.doc_id, r.repeats) for r in mixing.mix(df, t).collect()}
     assert again == {(r.doc_id, r.repeats) for r in mixing.mix(df.repartition(7), t).collect()}
     assert mixing.mix(df.limit(0), t).count() == 0
+
+
+def test_plan_is_the_fixed_point_of_the_rounds(spark):
+    rng = random.Random(9)
+    for _ in range(12):
+        names = [f"s{i}" for i in range(rng.randint(1, 7))]
+        tokens_of = {s: rng.choice([0, 10, 100, 1000, 5000]) for s in names}
+        shares = {s: rng.choice([0.0, 0.1, 0.2, 0.3, 0.5]) for s in names}
+        caps = {s: rng.choice([0, 1, 1, 2, 5]) for s in names}
+        docs = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(tokens_of.items())], "doc_id bigint, source string, n_tokens bigint")
+        targets = spark.createDataFrame([(s, shares[s], caps[s]) for s in names] + [("gone", None, None), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
+        for total in (None, mixing.CORPUS, 50.0, 1e9):
+            live = sum(tokens_of[s] for s in names if shares[s] > 0 and caps[s] > 0)
+            want = mixing.water_fill(tokens_of, shares, caps, live if total == mixing.CORPUS else total)
+            got = {r.source: r.goal for r in mixing.plan(docs, targets, total=total).collect()}
+            assert got.pop("gone") == 0 and got == {s: pytest.approx(v) for s, v in want.items()}
+
+
+def test_clamped_source_and_redistributed_shares(spark):
+    docs = spark.createDataFrame([(i, "big" if i % 10 < 8 else "mid" if i % 10 < 9 else "small", 10) for i in range(5000)], "doc_id bigint, source string, n_tokens bigint")
+    t = spark.createDataFrame([("big", 0.3, 1), ("mid", 0.2, 4), ("small", 0.5, 2)], "source string, target_share double, max_repeats int")
+    goals = mixing.plan(docs, t, total=mixing.CORPUS)
+    rep = {r.source: r for r in mixing.report(mixing.mix(docs, t, goals=goals), docs, goals).collect()}
+    assert rep["small"].clamped and rep["small"].epochs == 2 and rep["small"].share == pytest.approx(0.2, abs=0.002)
+    assert not rep["big"].clamped and rep["big"].share == pytest.approx(0.48, abs=0.002) and rep["mid"].share == pytest.approx(0.32, abs=0.002)
+    assert rep["big"].share / rep["mid"].share == pytest.approx(1.5, abs=0.02)
+
