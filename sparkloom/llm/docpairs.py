@@ -218,28 +218,53 @@ def documentation(lines: list[str], text: str, starts: list[int], line: int, lan
     return doc if doc and meaningful(doc, name) else ""
 
 
-def pair(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """(symbol_id, file_id, project_path, parent_name, name, kind, line, end_line, signature, code, documentation) of the
-    functions and methods whose file documents them.
-
-    Only the file's content decides, not the symbol table's docstring column. ``documentation`` is null where it is
-    missing or trivial, so that callers can resolve inherited texts (``inherit``) or drop the row. Symbols and files
-    meet on file_id; a file's symbols are read in one pass over its lines. Of symbols on one line the one indexed last
-    counts; repeated payloads of a file give repeated rows (drop them on file_id, line). Symbols without file, with a null or impossible line, and
-    files with null content give no row or a null documentation. A null end_line gives code of one line.
+_DECLARATION = re.compile(r"(?:[ \t]*@[^\n]*\n)*[ \t]*(?:[\w@]+[ \t]+)*?(?:class|interface|enum|record|trait|object|struct)\s+(\w+)(?:\s*\(([^)]*)\)|[^{;(]*?\b(?:extends|implements)\s+([^{;]*))")
+_BETWEEN = re.compile(r",|\bimplements\b|\bextends\b|\bpermits\b|\bwith\b")
+
+
+def bases_of(text: str, start: int, name: str) -> list[str]:
+    """The names of the classes that the declaration of class ``name`` at offset ``start`` extends or implements."""
+    m = _DECLARATION.match(text, start)
+    if not m or m[1] != name:
+        return []
+    said = m[2] if m[2] is not None else m[3]
+    while said != (said := re.sub(r"<[^<>]*>|\([^()]*\)|\[[^\[\]]*\]", "", said)):
+        pass
+    out = []
+    for x in _BETWEEN.split(said):
+        x = x.strip().rsplit(".", 1)[-1]
+        if re.fullmatch(r"\w+", x) and x not in ("object", "ABC", "Generic", "Protocol", name):
+            out.append(x)
+    return out
+
+
+_FIELDS = ["symbol_id", "file_id", "project_path", "directory", "language", "parent_name", "name", "kind", "line", "end_line", "signature", "code", "documentation", "bases"]
+
+
+def read(symbols: DataFrame, files: DataFrame, code: bool = True) -> DataFrame:
+    """(symbol_id, file_id, project_path, directory, language, parent_name, name, kind, line, end_line, signature, code,
+    documentation, bases) of the functions, methods, classes and types of each file.
+
+    Only the file's content decides, not the symbol table's docstring column. ``documentation`` is that of a function or
+    method, null where it is missing or trivial; ``bases`` are the classes that a class declares to extend or implement.
+    Symbols and files meet on file_id, once; a file's symbols are read in one pass over its lines. Of symbols on one line
+    the one indexed last counts; repeated payloads of a file give repeated rows (drop them on file_id, line). Symbols
+    without file, with a null or impossible line, and files with null content give no row or a null documentation. A null
+    end_line gives code of one line; without ``code`` that column is null.
     """
-    want = symbols.where(F.col("kind").isin("function", "method") & F.col("line").isNotNull())
+    want = symbols.where(F.col("kind").isin("function", "method", "class", "type") & F.col("line").isNotNull())
+    directory = F.regexp_replace("file_path", r"/?[^/]*$", "").alias("directory") if "file_path" in symbols.columns else F.lit("").alias("directory")
     cols = ["symbol_id", "name", "kind", "line", "end_line", "language", "signature", "parent_name"]
     # one symbol per line before the lists are made: a list is as long as its file at most, however often it was indexed
-    one = want.groupBy("file_id", "line").agg(F.max_by(F.struct(*cols), F.struct(*(c for c in ("indexed_at",) if c in want.columns), "symbol_id")).alias("x"))
+    one = want.groupBy("file_id", "line").agg(F.max_by(F.struct(*cols, directory), F.struct(*(c for c in ("indexed_at",) if c in want.columns), "symbol_id")).alias("x"))
     per = one.groupBy("file_id").agg(F.collect_list("x").alias("_s"))
     src = files.where(F.col("content").isNotNull()).select("file_id", "project_path", "content").join(per, "file_id")
-    out = ["symbol_id", "file_id", "project_path", "parent_name", "name", "kind", "line", "end_line", "signature", "code", "documentation"]
+    kinds = dict(zip(_FIELDS, [pa.string(), pa.int64(), *[pa.string()] * 6, pa.int32(), pa.int32(), *[pa.string()] * 3, pa.list_(pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):
-                rows: list[list] = [[] for _ in out]
+                rows: list[list] = [[] for _ in _FIELDS]
                 part = b.slice(i, 500)
                 for fid, project, text, syms in zip(*(part.column(c).to_pylist() for c in ("file_id", "project_path", "content", "_s"))):
                     lines = text.split("\n")
@@ -248,67 +273,86 @@ def pair(symbols: DataFrame, files: DataFrame) -> DataFrame:
                         starts.append(n)
                         n += len(x) + 1
                     for s in syms:
-                        name = s["name"] or ""
-                        doc = documentation(lines, text, starts, s["line"], s["language"], name)
-                        code = "\n".join(lines[s["line"] - 1 : max(s["line"], s["end_line"] or 0)]) if s["line"] > 0 else ""
-                        for c, v in zip(rows, (s["symbol_id"], fid, project, s["parent_name"], name, s["kind"], s["line"], s["end_line"], s["signature"], code, doc or None)):
+                        name, line = s["name"] or "", s["line"]
+                        doc = body = bases = None
+                        if s["kind"] in ("class", "type"):
+                            bases = bases_of(text, starts[line - 1], name) if 0 < line <= len(lines) else []
+                        else:
+                            doc = documentation(lines, text, starts, line, s["language"], name) or None
+                            if code:
+                                body = "\n".join(lines[line - 1 : max(line, s["end_line"] or 0)]) if line > 0 else ""
+                        for c, v in zip(rows, (s["symbol_id"], fid, project, s["directory"], s["language"], s["parent_name"], name, s["kind"], line, s["end_line"], s["signature"], body, doc, bases)):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds.values())], _FIELDS)
 
-    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
-    schema = "symbol_id string, file_id bigint, project_path string, parent_name string, name string, kind string, line int, end_line int, signature string, code string, documentation string"
+    schema = "symbol_id string, file_id bigint, project_path string, directory string, language string, parent_name string, name string, kind string, line int, end_line int, signature string, code string, documentation string, bases array<string>"
     return src.select("file_id", "project_path", "content", "_s").mapInArrow(run, schema)
 
 
-def hierarchy(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """(project_path, class_name, base): the classes of each project with the classes they name as bases, read from the
-    declaration in the file. Distinct; classes without bases give no row."""
-    classes = symbols.where(F.col("kind").isin("class", "type") & F.col("line").isNotNull() & F.col("name").rlike(r"^\w+$"))
-    per = classes.groupBy("file_id").agg(F.collect_set("name").alias("names"))
-    src = files.where(F.col("content").isNotNull()).select("file_id", "project_path", "content").join(per, "file_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decl = re.compile(r"(?m)^[ \t]*(?:[\w@]+[ \t]+)*?(?:class|interface)\s+(\w+)(?:\s*\(([^)]*)\)|[^{\n;]*?\b(?:extends|implements)\s+([^{\n]*))")
-        for b in batches:
-            rows: list[list] = [[], [], []]
-            for project, text, names in zip(b.column("project_path").to_pylist(), b.column("content").to_pylist(), b.column("names").to_pylist()):
-                known = set(names)
-                for m in decl.finditer(text):
-                    if m[1] in known:
-                        for base in re.split(r",|\bimplements\b|\bextends\b|\bpermits\b", m[2] or m[3] or ""):
-                            base = re.sub(r"<.*|\(.*|=.*", "", base).strip().rsplit(".", 1)[-1]
-                            if re.fullmatch(r"\w+", base) and base not in ("object", "ABC", "Generic"):
-                                for c, v in zip(rows, (project, m[1], base)):
-                                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in rows], ["project_path", "class_name", "base"])
+def pairs_of(found: DataFrame) -> DataFrame:
+    """The functions and methods of ``read``."""
+    return found.where(F.col("kind").isin("function", "method")).drop("bases")
 
-    return src.mapInArrow(run, "project_path string, class_name string, base string").distinct()
 
+def hierarchy(found: DataFrame) -> DataFrame:
+    """(file_id, class_name, base_file, base_class): each class of ``read`` with the classes it extends or implements.
 
-def inherit(pairs: DataFrame, bases: DataFrame, depth: int = 16) -> DataFrame:
-    """The pairs with documentation, own or inherited, and the class it comes from (documented_in).
+    A class is known by its file and name, so that classes of one name stay apart. A base is looked up by name in the same
+    file, else in the same directory, else in the project, among classes of the same language; where the nearest place has
+    several of that name it stays unresolved. Each look-up is a join with a table of unique keys, so that a name that very
+    many classes have multiplies nothing.
+    """
+    classes = found.where(F.col("kind").isin("class", "type") & (F.col("name") != ""))
+    classes = classes.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("project_path", "directory", "language")), "file_id", F.col("name").alias("class_name"), "bases")
+    edges = classes.select("project_path", "directory", "language", "file_id", "class_name", F.explode("bases").alias("base")).distinct()
+    known = classes.select("project_path", "directory", "language", "file_id", F.col("class_name").alias("base")).distinct()
+    here = known.select("file_id", "base", F.col("file_id").alias("_here"))
+    only = lambda keys, name: known.groupBy(*keys, "base").agg(F.min("file_id").alias(name), F.count("*").alias("n")).where("n = 1").drop("n")
+    place = ["project_path", "language"]
+    e = edges.join(here, ["file_id", "base"], "left").join(only([*place, "directory"], "_near"), [*place, "directory", "base"], "left").join(only(place, "_far"), [*place, "base"], "left")
+    e = e.select("file_id", "class_name", F.coalesce("_here", "_near", "_far").alias("base_file"), F.col("base").alias("base_class"))
+    return e.where("base_file is not null and not (base_file = file_id and base_class = class_name)")
+
+
+def inherit(pairs: DataFrame, bases: DataFrame) -> DataFrame:
+    """The pairs with documentation, own or inherited, with the class it comes from (documented_in) and how many steps up
+    the hierarchy that is (level; 0 is the method's own).
 
     A method without documentation takes that of the method of the same name in a base class, the nearest first (of
-    equally near ones the base least by name); the search goes up the hierarchy by iterated joins until nothing is open
-    or ``depth`` levels are done, so that cycles end too. Methods that stay without documentation, and undocumented
-    functions, are dropped. Rows keep their multiplicity; a null class has no bases.
+    equally near ones the base least by name; of overloads the first). The search goes up the hierarchy by iterated joins
+    of the methods that are still open with the bases of the classes they stand at; what was reached before is not reached
+    again, so that it ends at a fixed point, in cycles too, however deep the hierarchy. Methods that stay without
+    documentation, and undocumented functions, are dropped. Rows keep their multiplicity; a null class has no bases.
     """
     checkpoint_dir(pairs.sparkSession)
     pairs = materialize(pairs)  # read several times, mostly without the code
-    own = pairs.where(F.col("documentation").isNotNull()).withColumn("documented_in", F.col("parent_name"))
-    docs = own.where(F.col("parent_name").isNotNull()).groupBy("project_path", "parent_name", "name").agg(F.min("documentation").alias("found"))
-    docs = docs.select(F.col("project_path").alias("_p"), F.col("parent_name").alias("_c"), F.col("name").alias("_n"), "found").checkpoint()
-    up = bases.select(F.col("project_path").alias("_bp"), F.col("class_name").alias("_bc"), "base").checkpoint()
+    own = pairs.where(F.col("documentation").isNotNull()).withColumn("documented_in", F.col("parent_name")).withColumn("level", F.lit(0))
+    docs = own.where(F.col("parent_name").isNotNull()).groupBy("file_id", "parent_name", "name").agg(F.min_by("documentation", "line").alias("found"))
+    docs = docs.select(F.col("file_id").alias("at_file"), F.col("parent_name").alias("at_class"), "name", "found").checkpoint()
+    up = bases.select(F.col("file_id").alias("at_file"), F.col("class_name").alias("at_class"), "base_file", "base_class").distinct().checkpoint()
     lacking = pairs.where("documentation is null and parent_name is not null and kind = 'method'")
-    open_ = lacking.select("project_path", "parent_name", "name").distinct().withColumn("at", F.col("parent_name")).checkpoint()
-    resolved = None
-    for _ in range(depth):
-        step = open_.join(up, (F.col("project_path") == F.col("_bp")) & (F.col("at") == F.col("_bc"))).select("project_path", "parent_name", "name", F.col("base").alias("at")).distinct()
-        hit = step.join(docs, (F.col("project_path") == F.col("_p")) & (F.col("at") == F.col("_c")) & (F.col("name") == F.col("_n")), "left").select("project_path", "parent_name", "name", "at", "found").checkpoint()
-        got = hit.where("found is not null").groupBy("project_path", "parent_name", "name").agg(F.min(F.struct("at", "found")).alias("x"))
+    method = ["file_id", "parent_name", "name"]
+    place = [*method, "at_file", "at_class"]
+    open_ = lacking.select(*method, F.col("file_id").alias("at_file"), F.col("parent_name").alias("at_class")).distinct().checkpoint()
+    seen, resolved, level = open_, None, 0
+    while not open_.isEmpty():
+        level += 1
+        step = open_.join(up, ["at_file", "at_class"]).select(*method, F.col("base_file").alias("at_file"), F.col("base_class").alias("at_class")).distinct()
+        hit = step.join(seen, place, "left_anti").join(docs, ["at_file", "at_class", "name"], "left").checkpoint()
+        got = hit.where("found is not null").groupBy(*method).agg(F.min(F.struct("at_class", "at_file", "found")).alias("x")).withColumn("level", F.lit(level))
         resolved = got if resolved is None else resolved.unionByName(got)
-        open_ = hit.where("found is null").select("project_path", "parent_name", "name", "at").join(got, ["project_path", "parent_name", "name"], "left_anti").checkpoint()
-        if open_.isEmpty():
-            break
-    more = lacking.drop("documentation").join(resolved, ["project_path", "parent_name", "name"]).withColumn("documentation", F.col("x.found")).withColumn("documented_in", F.col("x.at")).drop("x")
+        open_ = hit.where("found is null").select(*place).join(got, method, "left_anti").checkpoint()
+        seen = seen.unionByName(open_)
+    if resolved is None:
+        return own
+    more = lacking.drop("documentation").join(resolved, method).withColumn("documentation", F.col("x.found")).withColumn("documented_in", F.col("x.at_class")).drop("x")
     return own.unionByName(more.select(own.columns))
+
+
+def documented(symbols: DataFrame, files: DataFrame, code: bool = True) -> DataFrame:
+    """Functions and methods with their documentation: ``read`` from the files, classes by ``hierarchy``, methods by
+    ``inherit``; each declaration once."""
+    checkpoint_dir(files.sparkSession)
+    found = read(symbols, files, code).dropDuplicates(["file_id", "line"])
+    found = materialize(found)
+    return inherit(pairs_of(found), hierarchy(found))

@@ -58,22 +58,25 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_rates(syntax.parse_flags(table(spark, d, "file_payloads")))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return docpairs.pair(table(spark, d, "symbols"), table(spark, d, "file_payloads"))
-
-
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Functions and methods whose file documents them."""
-    return _pairs(spark, d).where(F.col("documentation").isNotNull()).select("file_id", "line").distinct()
+    """Functions and methods whose file documents them itself: those whose text comes from no class above."""
+    got = docpairs.documented(table(spark, d, "symbols"), table(spark, d, "file_payloads"), code=False)
+    return got.where("level = 0").select("file_id", "line").distinct()
 
 
 @query
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Code and documentation of each function and method, inherited documentation resolved."""
-    pairs = _pairs(spark, d).dropDuplicates(["file_id", "line"])
-    bases = docpairs.hierarchy(table(spark, d, "symbols"), table(spark, d, "file_payloads"))
-    return docpairs.inherit(pairs, bases).select("file_id", "line", "name", "kind", "parent_name", "documented_in", "signature", "code", "documentation")
+    got = docpairs.documented(table(spark, d, "symbols"), table(spark, d, "file_payloads"))
+    return got.select("file_id", "line", "name", "kind", "parent_name", "documented_in", "level", "signature", "code", "documentation")
+
+
+@query
+def p3_inherited(spark: SparkSession, d: str) -> DataFrame:
+    """How many documented declarations have their text from how many steps up the hierarchy, per language."""
+    got = docpairs.documented(table(spark, d, "symbols"), table(spark, d, "file_payloads"), code=False)
+    return got.groupBy("language", "level").agg(F.count("*").alias("declarations"))
 
 
 @query
