@@ -80,7 +80,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name
     A distinct-word table: the texts are split into words in Spark, once; the words are made distinct per block of
     documents and then over the corpus, and each distinct word is encoded once. The ids go back to the blocks and are
     joined to the words of each document by position; no text is split or encoded a second time, and a word that the table
-    lacks is an error. Only distinct (block, word) pairs and the documents' word lists are shuffled, not single
+    lacks is an error. Only distinct (block, word) pairs and the texts with their words' lengths are shuffled, not single
     occurrences of words. A block holds about ``block_bytes`` of text, however often a word occurs.
 
     A null and an empty text both get an empty list; strings that look like special tokens are ordinary
@@ -106,9 +106,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name
     back = pairs.join(table, "_w").select(F.col("_b").alias("_rb"), "_w", "_ids")
 
     def by_position(left: pa.Table, right: pa.Table) -> pa.Table:
-        lists = _whole(left.column("_ws"))
+        texts, lists = _whole(left.column("_t")), _whole(left.column("_ls"))
         size = np.asarray(pc.list_value_length(lists))
-        found = pc.index_in(lists.flatten(), value_set=_whole(right.column("_w")))
+        # the texts lie one after the other, and their words fill them: the lengths are the words' places
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset] if len(texts) else 0
+        places = np.concatenate([[at], at + np.cumsum(np.asarray(lists.flatten()), dtype=np.int64)]).astype(np.int32)
+        flat = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), texts.buffers()[2] or pa.py_buffer(b""))
+        found = pc.index_in(flat, value_set=_whole(right.column("_w")))
         if found.null_count:
             raise ValueError("a word without token ids")
         ids = _whole(right.column("_ids")).take(found)
@@ -117,6 +121,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name
         return pa.table({id_col: left.column("_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), ids.flatten())})
 
     id_type = docs.schema[id_col].dataType.simpleString()
+    d = d.select("_b", "_id", F.array_join("_ws", "").alias("_t"), F.transform("_ws", lambda w: F.octet_length(w)).alias("_ls"))
     return d.groupBy("_b").cogroup(back.groupBy("_rb")).applyInArrow(by_position, f"`{id_col}` {id_type}, ids array<int>")
 
 
