@@ -109,10 +109,13 @@ def query_prefix(model: Column) -> Column:
 
 
 def human_age(seconds: Column) -> Column:
-    """A duration in its largest whole unit: 45s, 12m, 3h, 2d."""
+    """A duration in its largest unit: whole seconds and minutes, hours and days with a decimal, ties up (45s, 12m, 3.5h,
+    2.0d)."""
     s = seconds.cast("bigint")
-    unit = lambda n, u: F.concat(F.floor(s / n).cast("string"), F.lit(u))
-    return F.when(s < 60, unit(1, "s")).when(s < 3600, unit(60, "m")).when(s < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+    whole = lambda n, u: F.concat(F.floor(s / n).cast("string"), F.lit(u))
+    t = lambda n: F.floor((s * 10 + n // 2) / n)
+    tenth = lambda n, u: F.concat(F.floor(t(n) / 10).cast("string"), F.lit("."), (t(n) % 10).cast("string"), F.lit(u))
+    return F.when(s < 60, whole(1, "s")).when(s < 3600, whole(60, "m")).when(s < 86400, tenth(3600, "h")).otherwise(tenth(86400, "d"))
 
 
 def first_hop(forwarded: Column, address: Column) -> Column:

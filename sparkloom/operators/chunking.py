@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import spread
+from . import prefix
 
+# Bytes of a sliding window and of the overlap of two, bytes of the largest chunk, lines of the longest shell function.
 WINDOW = 4000
 OVERLAP = 500
 MAX_CHUNK = 4500
@@ -39,15 +41,18 @@ def sliding_windows(files: DataFrame, id_cols: list[str], text_col: str, size: i
 
 def line_gaps(ranges: DataFrame, totals: DataFrame, keys: list[str], start: str = "start_line", end: str = "end_line", total: str = "lines") -> DataFrame:
     """(keys, start, end): runs of the lines 1..total of each key that no range covers. A null or reversed range covers
-    nothing; a key without ranges is one gap; a key without lines none."""
-    good = ranges.where(F.col(start) <= F.col(end)).select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    tail = totals.where(F.col(total) > 0).select(*keys, (F.col(total) + 1).alias("_s"), (F.col(total) + 1).alias("_e"), F.col(total).alias("_t"))
-    both = good.withColumn("_t", F.lit(None).cast(totals.schema[total].dataType)).unionByName(tail)
-    w = Window.partitionBy(*keys).orderBy("_s", "_e")
-    reach = F.coalesce(F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = F.max("_t").over(Window.partitionBy(*keys))
-    g = both.select(*keys, (reach + 1).alias(start), (F.least(F.col("_s"), lines + 1) - 1).alias(end), lines.alias("_n"))
-    return g.where((F.col(start) <= F.col(end)) & F.col("_n").isNotNull()).select(*keys, F.col(start).cast("int").alias(start), F.col(end).cast("int").alias(end))
+    nothing; a key without ranges is one gap; a key without lines none. Ranges with equal starts are reduced to the longest
+    before the sweep, and how far the earlier ones reach is found in two levels, so that a key with very many ranges is
+    many tasks."""
+    good = ranges.where(F.col(start) <= F.col(end)).groupBy(*keys, F.col(start).alias("_s")).agg(F.max(end).alias("_e"))
+    lines = totals.where(F.col(total) > 0).groupBy(*keys).agg(F.max(total).alias("_n"))
+    tail = lines.select(*keys, (F.col("_n") + 1).alias("_s"), (F.col("_n") + 1).alias("_e"))
+    o = prefix.before(prefix.ordered(good.unionByName(tail), keys, ["_s"]), keys, [("_b", F.max("_e"))], F.max)
+    w = prefix.inside(keys, ["_s"]).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest(F.coalesce(F.max("_e").over(w), F.lit(0)), F.coalesce("_b", F.lit(0)))
+    g = o.select(*keys, "_s", (reach + 1).alias("_f")).join(lines, list(keys))
+    g = g.select(*keys, F.col("_f").cast("int").alias(start), (F.least(F.col("_s"), F.col("_n") + 1) - 1).cast("int").alias(end))
+    return g.where(F.col(start) <= F.col(end))
 
 
 def module_chunks(files: DataFrame, gaps: DataFrame, keys: list[str], text_col: str = "content") -> DataFrame:

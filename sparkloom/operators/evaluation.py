@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from . import prefix
 
 
 def path_matches(rel: Column, paths: Column) -> Column:
@@ -32,11 +33,20 @@ def retrieval_metrics(results: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def nearest_rank_percentiles(rows: DataFrame, value: str, ps: list[float], keys: list[str]) -> DataFrame:
-    """(keys, p, value) at index int(p * (n - 1) + 0.5) of the sorted values."""
-    w = Window.partitionBy(*keys)
-    r = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
+    """(keys, p, value) at index int(p * (n - 1) + 0.5) of the sorted values.
+
+    Equal values are counted before anything is sorted, and the counts are summed up in two levels over range partitions:
+    a key with most of the rows is many tasks. Null values don't count; keys without values give no rows.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("_c"))
+    o = prefix.before(prefix.ordered(counts, keys, ["value"]), keys, [("_b", F.sum("_c"))], F.sum)
+    end = F.sum("_c").over(prefix.inside(keys, ["value"]).rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_b", F.lit(0))
+    o = o.select(*keys, "value", (end - F.col("_c")).alias("_from"), end.alias("_to"))
+    n = counts.groupBy(*keys).agg(F.sum("_c").alias("_n")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_n")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     want = F.array(*(F.struct(F.lit(p).alias("p"), F.floor(F.lit(p) * (F.col("_n") - 1) + 0.5).alias("i")) for p in ps))
-    return r.select(*keys, F.col(value).alias("value"), "_i", F.explode(want).alias("w")).where("_i = w.i").select(*keys, "w.p", "value")
+    j = o.join(n, same) if keys else o.crossJoin(n)  # without keys: one row
+    return j.select(*keys, "value", "_from", "_to", F.explode(want).alias("w")).where("w.i >= _from and w.i < _to").select(*keys, "w.p", "value")
 
 
 def rank_agreement(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Sequence
 
@@ -10,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import file_system
+from . import prefix
 
+# The largest content that is indexed, and the files of a batch where no number is given and at most.
 MAX_CONTENT = 524_288
+DEFAULT_BATCH = 5
+MAX_BATCH = 50
 
 
 def hash_diff(discovered: DataFrame, stored: DataFrame, keys: Sequence[str] = ("path",), hash_col: str = "content_hash", full: bool = False) -> DataFrame:
@@ -70,21 +74,52 @@ def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> d
     return {n: delete_keys(t, gone, [key]) for n, t in tables.items()}
 
 
-def commit_version(df: DataFrame, root: str) -> str:
-    """Write a new version of a table and switch to it: the pointer file is replaced in one step, so that readers see
-    either the old or the new version, and a run that fails changes nothing."""
+def commit_version(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> str:
+    """Write a new version of a table and switch to it: the pointer is renamed into place in one step on the folder's own
+    file system, so that readers see either the old or the new version, and a run that fails changes nothing. Versions
+    that are no longer current stay until ``drop_versions``."""
+    spark = df.sparkSession
     version = uuid.uuid4().hex
-    df.write.parquet(os.path.join(root, version))
-    tmp = os.path.join(root, f".current-{version}")
-    with open(tmp, "w") as f:
-        f.write(version)
-    os.replace(tmp, os.path.join(root, "CURRENT"))
+    df.write.partitionBy(*partition_by).parquet(f"{root}/{version}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = file_system(spark, root)
+    tmp, current = hadoop.Path(f"{root}/.current-{version}"), hadoop.Path(f"{root}/CURRENT")
+    out = fs.create(tmp, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    names = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    over = spark._jvm.java.lang.reflect.Array.newInstance(spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+    over[0] = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    names.rename(fs.makeQualified(tmp), fs.makeQualified(current), over)
     return version
 
 
+def current_version(spark: SparkSession, root: str) -> str:
+    """The version that a table's pointer names."""
+    fs = file_system(spark, root)
+    stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT"))
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    with open(os.path.join(root, "CURRENT")) as f:
-        return spark.read.parquet(os.path.join(root, f.read().strip()))
+    return spark.read.parquet(f"{root}/{current_version(spark, root)}")
+
+
+def drop_versions(spark: SparkSession, root: str) -> int:
+    """Delete the versions of a table that are not current; the number deleted."""
+    fs, keep, n = file_system(spark, root), current_version(spark, root), 0
+    for x in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(root)):
+        if x.isDirectory() and x.getPath().getName() != keep:
+            n += bool(fs.delete(x.getPath(), True))
+    return n
+
+
+def append(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table with the rows added as they are; a column that only one side has is null on the other."""
+    return table.unionByName(rows, allowMissingColumns=True)
 
 
 def project_stats(files: DataFrame, chunks: DataFrame, symbols: DataFrame, project_col: str = "project_path") -> DataFrame:
@@ -112,9 +147,10 @@ def languages_of(files: DataFrame, path_col: str = "path", key: str = "project_p
 
 
 def batches_of(rows: DataFrame, order: Sequence[str], size: int, key: str) -> DataFrame:
-    """Rows with the number of their batch of ``size`` within their key, in order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / size))
+    """Rows with the number of their batch of ``size`` within their key, in order; a size of 0 or less counts as 5, one
+    over 50 as 50. Positions are counted in two levels, so that a large key is many tasks."""
+    n = min(size, MAX_BATCH) if size > 0 else DEFAULT_BATCH
+    return prefix.numbered(rows, [key], order, "_at").withColumn("batch_no", F.floor(F.col("_at") / n)).drop("_at")
 
 
 def run_totals(batches: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,62 +54,73 @@ def top_k(docs: DataFrame, query: Sequence[float], k: int | None = 10, id_col: s
     return _usable(scored(docs, query, **kw)).orderBy(F.desc("score"), F.asc(id_col)).limit(k if k and k > 0 else 10)
 
 
+#: Bytes of query vectors up to which all of them are sent to every task, and of vectors that one packed row holds.
+SENT_BYTES = 64 << 20
+PACK_BYTES = 4 << 20
+
+
 def batch_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", query_id: str = "query_id", vector_col: str = "embedding", block: int = 1024) -> DataFrame:
-    """(query_id, id, score, rank): the k nearest docs of every query of a table, exactly.
+    """(query_id, id, score, rank): the k nearest docs of every query of a table, exactly; of equal scores the least ids.
 
-    The queries are a stated set that goes to every task in blocks of ``block`` vectors (bounded memory: one block at a
-    time); each task keeps the k best docs of each query of its own rows, and the partial lists are merged by window.
+    One pass over the docs: both sides are packed into blocks of vectors, each block of docs meets each block of ``block``
+    queries once, as one matrix product, and of every pair of blocks each query keeps its k best docs; these partial lists
+    are cut to k per query within the task and again after the shuffle. Query blocks are sent to every task while all of
+    them together stay under ``SENT_BYTES``; beyond that, pairs of partitions are dealt out to tasks. No row passes through
+    the driver. Null vectors, vectors of no length, and docs of another length than the query take no part.
     """
-    spark = docs.sparkSession
-    q = queries.select(F.col(query_id).alias("q"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull())
-    out = None
     id_type = docs.schema[id_col].dataType.simpleString()
     q_type = queries.schema[query_id].dataType.simpleString()
-    rows = q.toLocalIterator()
-    while True:
-        part = [r for _, r in zip(range(block), rows)]
-        if not part:
-            break
-        ids = [r.q for r in part]
-        m = np.array([r.v for r in part], dtype=np.float64)
-        m /= np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
-        sent = spark.sparkContext.broadcast((ids, m))
-
-        def nearest(it: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, m = sent.value
-            best: list[pd.DataFrame] = []
-            for pdf in it:
-                pdf = pdf[pdf["v"].map(lambda v: v is not None and len(v) == m.shape[1]).to_numpy(dtype=bool)]
-                if not len(pdf):
+
+    def packed(rows: DataFrame, key: str, kind: str, name: str, most: int | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = b.column(1)
+                size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+                for n in np.unique(size[size > 0]).tolist():  # of one length as a rule
+                    at = np.flatnonzero(size == n)
+                    m = np.asarray(lists.take(pa.array(at)).flatten().cast(pa.float64())).reshape(-1, n)
+                    keys = b.column(0).take(pa.array(at))
+                    order = np.asarray(pc.sort_indices(keys))
+                    step = most or max(1, PACK_BYTES // (8 * n))
+                    for i in range(0, len(at), step):
+                        take = order[i : i + step]
+                        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(take)], pa.int32()), keys.take(pa.array(take))), pa.array([m[take].tobytes()]), pa.array([n], pa.int32())], [f"{name}s", f"{name}v", f"{name}n"])
+
+        src = rows.select(F.col(key).alias("k"), F.col(vector_col).alias("v")).where(F.col("k").isNotNull() & F.col("v").isNotNull())
+        return src.mapInArrow(run, f"{name}s array<{kind}>, {name}v binary, {name}n int")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ds, dv, dn, qs, qv = (b.column(c)[i] for c in range(5))
+                n = dn.as_py()
+                unit = lambda v: (x := np.frombuffer(v.as_py()).reshape(-1, n), np.sqrt((x * x).sum(1)))
+                (d, dl), (q, ql) = unit(dv), unit(qv)
+                ok = np.flatnonzero(dl > 0)
+                if not len(ok):
                     continue
-                pdf = pdf.sort_values("d", kind="stable")
-                x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-                n = np.sqrt((x * x).sum(1))
-                keep = n > 0
-                x, own = x[keep] / n[keep, None], pdf["d"].to_numpy()[keep]
-                s = np.round(m @ x.T, 4)
-                take = np.argsort(-s, axis=1, kind="stable")[:, :k]  # rows stand by id: a stable sort leaves equal scores so
-                for i in range(len(ids)):
-                    best.append(pd.DataFrame({"q": ids[i], "d": own[take[i]], "s": s[i, take[i]]}))
-                if len(best) > 4096:
-                    best = [_best(best, k)]
-            if best:
-                yield _best(best, k)
-
-        got = docs.select(F.col(id_col).alias("d"), F.col(vector_col).alias("v")).mapInPandas(nearest, f"q {q_type}, d {id_type}, s double")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], f"{query_id} {q_type}, {id_col} {id_type}, score double, rank int")
+                s = np.round(q @ (d[ok] / dl[ok, None]).T / np.where(ql > 0, ql, 1)[:, None], 4)
+                least = np.partition(-s, min(k, len(ok)) - 1, axis=1)[:, min(k, len(ok)) - 1]
+                row, col = np.nonzero((-s <= least[:, None]) & (ql > 0)[:, None])  # every tie of the k-th
+                order = np.lexsort((col, -s[row, col], row))  # docs stand by id
+                row, col = row[order], col[order]
+                first = np.searchsorted(row, row)
+                keep = np.arange(len(row)) - first < k
+                row, col = row[keep], col[keep]
+                yield pa.RecordBatch.from_arrays([qs.values.take(pa.array(row)), ds.values.take(pa.array(ok[col])), pa.array(s[row, col])], ["q", "d", "s"])
+
+    dq, qq = packed(docs, id_col, id_type, "d", None), packed(queries, query_id, q_type, "q", block)
+    shape = queries.agg(F.sum(F.greatest(F.size(vector_col), F.lit(0)) * 8).alias("bytes")).first()
+    if (shape["bytes"] or 0) <= SENT_BYTES:
+        pairs = dq.join(F.broadcast(qq), F.col("dn") == F.col("qn"))
+    else:
+        pairs = dq.crossJoin(qq).where("dn = qn")  # a stated query set in blocks against all rows
+    got = pairs.select("ds", "dv", "dn", "qs", "qv").mapInArrow(nearest, f"q {q_type}, d {id_type}, s double")
     w = Window.partitionBy("q").orderBy(F.desc("s"), F.asc("d"))
-    ranked = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_id), F.col("d").alias(id_col), F.col("s").alias("score"), "rank")
 
 
-def _best(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    x = pd.concat(parts).sort_values(["q", "s", "d"], ascending=[True, False, True], kind="stable")
-    return x.groupby("q", sort=False).head(k)
-
-
 def dedup_by_location(hits: DataFrame, keys: Sequence[str] = ("file_path", "start_line", "end_line"), order: Sequence[Column] | None = None) -> DataFrame:
     """One hit per location: the best score, of equals the first by ``order`` (rank)."""
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), *(order or [F.asc("rank")]))
@@ -124,14 +137,22 @@ def fan_out(docs: DataFrame, query: Sequence[float], n: int, languages: Sequence
             s = s.where(F.col("language") == languages[0])
         top = s.orderBy(*by).limit(n * max(1, len(languages)))
         return top.withColumn("rank", F.row_number().over(Window.orderBy(*by)))  # at most n rows times languages
-    s = s.where(F.col("language").isin(*languages))
-    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy(*by))).where(F.col("rank") <= n)
-    return dedup_by_location(s, order=[F.asc("language"), F.asc("rank")])
+    top = None
+    for x in dict.fromkeys(languages):  # each the n best rows of every task, and no task with all rows of a language
+        one = s.where(F.col("language") == x).orderBy(*by).limit(n)
+        top = one if top is None else top.unionByName(one)
+    top = top.withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy(*by)))
+    return dedup_by_location(top, order=[F.asc("language"), F.asc("rank")])
 
 
 def passing(hits: DataFrame, min_score: float = 0.4, paths: Sequence[str] = (), excludes: Sequence[str] = (), languages: Sequence[str] = ()) -> DataFrame:
     """Hits at or above the score floor, in one of the languages, with one of ``paths`` and none of ``excludes`` in their
     path (case-sensitive substrings)."""
+    return hits.where(passes(min_score, paths, excludes, languages))
+
+
+def passes(min_score: float = 0.4, paths: Sequence[str] = (), excludes: Sequence[str] = (), languages: Sequence[str] = ()) -> Column:
+    """The condition of ``passing``."""
     c = F.col("score") >= min_score
     if languages:
         c &= F.col("language").isin(*languages)
@@ -140,7 +161,7 @@ def passing(hits: DataFrame, min_score: float = 0.4, paths: Sequence[str] = (),
         c &= _any([F.contains(path, F.lit(p)) for p in paths])
     if excludes:
         c &= ~_any([F.contains(path, F.lit(p)) for p in excludes])
-    return hits.where(c)
+    return c
 
 
 def _any(cs: list[Column]) -> Column:
@@ -159,9 +180,7 @@ def adaptive_window(docs: DataFrame, query: Sequence[float], limit: int, languag
     most = limit * FACTORS[-1]
     many = len(languages) > MAX_FANOUT
     post = {"languages": languages} if many else {}
-    cand = fan_out(docs, query, most, languages, id_col, arrow)
-    ok = passing(cand, **filters, **post).withColumn("_ok", F.lit(True)).select(id_col, "_ok")
-    cand = cand.join(ok, id_col, "left")
+    cand = fan_out(docs, query, most, languages, id_col, arrow).withColumn("_ok", F.coalesce(passes(**filters, **post), F.lit(False)))
     per = len(languages) if many else 1
     every = Window.partitionBy()  # bounded: limit * 16 rows for each language
     n_of = None
@@ -184,7 +203,8 @@ def merge_overlaps(hits: DataFrame, keys: Sequence[str] = ("file_path",)) -> Dat
     strictly contains its range, or that touches it end to end where either has a symbol. Only hits of one unbroken stretch
     of lines can meet, so that the fold runs per stretch; each is folded as one Catalyst expression. Columns needed:
     start_line, end_line, score, symbol_name, chunk_type, rank (ties) and the keys. Hits with a null bound are kept as
-    they are, apart from all others.
+    they are, apart from all others. A stretch is one array: a search has at most 16 times its limit of hits in all, and
+    hits made distinct by location (``dedup_by_location``) are no more than the stretch's lines have ranges.
     """
     ks = list(keys)
     sized = hits.withColumn("symbol_name", F.coalesce("symbol_name", F.lit("")))

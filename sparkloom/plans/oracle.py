@@ -202,7 +202,7 @@ ORACLE["valid_keys"] = "SELECT o_custkey AS owner_id, count(*) AS keys FROM orde
 ORACLE["scalar_functions"] = """
 SELECT o_orderkey AS id, floor(o_totalprice / 1000 * 10 + 0.5) / 10 AS one, round(o_totalprice / 7, 4) AS four, (o_orderkey % 7) * 100.0::DOUBLE / 6 AS pct,
   least(CASE WHEN o_orderkey % 1500 - 100 <= 0 THEN 20 ELSE o_orderkey % 1500 - 100 END, 1000)::INTEGER AS lim, least(pow(2.0, o_orderkey % 9 + 1), 60.0)::DOUBLE AS backoff,
-  CASE WHEN a < 60 THEN a || 's' WHEN a < 3600 THEN (a // 60) || 'm' WHEN a < 86400 THEN (a // 3600) || 'h' ELSE (a // 86400) || 'd' END AS age FROM (SELECT *, o_orderkey % 200000 AS a FROM orders)
+  CASE WHEN a < 60 THEN a || 's' WHEN a < 3600 THEN (a // 60) || 'm' WHEN a < 86400 THEN printf('%d.%dh', (a * 10 + 1800) // 36000, (a * 10 + 1800) // 3600 % 10) ELSE printf('%d.%dd', (a * 10 + 43200) // 864000, (a * 10 + 43200) // 86400 % 10) END AS age FROM (SELECT *, o_orderkey % 200000 AS a FROM orders)
 """
 
 ORACLE["ema"] = """

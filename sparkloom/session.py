@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -58,7 +59,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session when it is set.
 
-    Only where the setting is absent (tests, a laptop) a local folder is made and registered.
+    Only in local mode (tests, a laptop) a local folder is made and registered where the setting is absent; on a cluster,
+    whose nodes could not read each other's folders, that is an error.
     """
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -66,6 +68,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(known)
         return known
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all nodes of the cluster share")
     own = tempfile.mkdtemp(prefix="sparkloom-", dir=os.environ.get("TMPDIR"))
     sc.setCheckpointDir(own)
     return own
@@ -75,15 +79,36 @@ def materialize(df: DataFrame) -> DataFrame:
     """The rows, written once as a compressed table in the shared checkpoint folder and read back.
 
     Cuts the lineage as a checkpoint does, for intermediate results that several branches read; any executor can read it
-    again when another is lost. Unlike a checkpoint it keeps no partitioning and is columnar. The folder is left to
-    whoever owns ``spark.checkpoint.dir``.
+    again when another is lost. Unlike a checkpoint it keeps no partitioning and is columnar. Results read the tables
+    lazily, so that they stay until ``release`` is called or the driver ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that ``materialize`` wrote. Call it once the results that read them are written."""
+    while _written:
+        path = _written.pop()
+        try:
+            file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        except Exception:  # the session is gone, and with it the way to the folder
+            return
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over at least as many partitions as the cluster has cores, for work that costs far more than moving its
     input; only an input of fewer splits than cores (a small table in one row group) is dealt out anew."""

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..operators import prefix
 
 #: The index's own ignore and configuration files; pass others where an installation names them otherwise.
 OWN_RULE_FILES = (".indexignore", ".indexconfig.yaml")
@@ -33,37 +36,49 @@ def action(rel_path: Column, rule_files: frozenset[str] = RULE_FILES) -> Column:
 
 def debounce(events: DataFrame, key: str, at: str, path: str, gap_seconds: float) -> DataFrame:
     """(key, first, last, paths): sessions of events with gaps under ``gap_seconds`` between them, with their distinct
-    paths. Windows with lag and running sum; a long session is an array of its distinct paths."""
-    w = Window.partitionBy(key).orderBy(at)
-    gap = F.unix_micros(F.col(at)) - F.lag(F.unix_micros(F.col(at))).over(w)
-    e = events.where(F.col(at).isNotNull()).withColumn("_new", F.when(gap.isNull() | (gap >= gap_seconds * 1_000_000), 1).otherwise(0))
-    e = e.withColumn("_s", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    paths. Gaps are found and numbered in two levels, so that a key with most of the events is many tasks; a session is an
+    array of its distinct paths."""
+    e = events.where(F.col(at).isNotNull()).withColumn("_us", F.unix_micros(F.col(at)))
+    e = prefix.segmented(e, [key], "_us", gap_seconds * 1_000_000, "_s").drop("_us")
     return e.groupBy(key, "_s").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("events"), F.array_sort(F.collect_set(path)).alias("paths")).drop("_s")
 
 
-def _fold(events: DataFrame, key: str, order: list[str], make, step, finish, schema: str) -> DataFrame:
+def _fold(events: DataFrame, key: str, order: list[str], make, step, finish, schema: str, reset: float) -> DataFrame:
     """An ordered fold of each key's rows in bounded memory: rows are sorted within partitions and flow through in
-    batches; only the state of the key at hand is kept."""
+    batches; only the state of the segment at hand is kept.
+
+    After a gap of ``reset`` seconds or more between two rows of a key the state is as at the beginning, so that the
+    key is cut there (``prefix.segmented``) and its segments are folded in different tasks. What is one segment, rows
+    without such a gap, is inherently ordered and stays one task's.
+    """
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, out = None, None, []
-        for pdf in it:
-            for r in pdf.itertuples(index=False):
-                k = getattr(r, key)
-                if state is None or k != current:
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns]
+            for k, seg, *r in zip(cols[0], cols[1], *cols[2:]):
+                if state is None or (k, seg) != current:
                     if state is not None:
-                        out += finish(current, state)
-                    current, state = k, make()
-                out += step(k, state, r)
+                        out += finish(current[0], state)
+                    current, state = (k, seg), make()
+                out += step(k, state, *r)
             if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=names)
+                yield batch()
                 out = []
         if state is not None:
-            out += finish(current, state)
-        yield pd.DataFrame(out, columns=names)
+            out += finish(current[0], state)
+        yield batch()
 
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    return events.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    target = events.sparkSession.createDataFrame([], schema).schema
+    types = [to_arrow_type(f.dataType) for f in target.fields]
+    e = prefix.segmented(events, [key], "t", reset, "_seg")
+    e = e.select(key, "_seg", *(c for c in events.columns if c != key))
+    return e.repartition(key, "_seg").sortWithinPartitions(key, "_seg", *order).mapInArrow(run, target)
 
 
 def debounce_capped(events: DataFrame, key: str, gap_seconds: float, cap_factor: int = 10) -> DataFrame:
@@ -74,24 +89,24 @@ def debounce_capped(events: DataFrame, key: str, gap_seconds: float, cap_factor:
     """
     e = events.where(F.col("t").isNotNull() & F.col(key).isNotNull()).select(key, F.col("t").cast("double").alias("t"), "path")
 
-    def step(k, s, r):
+    def step(k, s, t, path):
         out = []
-        if s["n"] and r.t - s["last"] >= gap_seconds:
+        if s["n"] and t - s["last"] >= gap_seconds:
             out.append((k, s["last"] + gap_seconds, s["n"], ",".join(sorted(s["paths"]))))
             s.update(first=None, n=0, paths=set())
         if not s["n"]:
-            s["first"] = r.t
+            s["first"] = t
         s["n"] += 1
-        s["last"] = r.t
-        s["paths"].add(r.path)
-        if r.t - s["first"] >= cap_factor * gap_seconds:
-            out.append((k, r.t, s["n"], ",".join(sorted(s["paths"]))))
+        s["last"] = t
+        s["paths"].add(path or "")
+        if t - s["first"] >= cap_factor * gap_seconds:
+            out.append((k, t, s["n"], ",".join(sorted(s["paths"]))))
             s.update(first=None, n=0, paths=set())
         return out
 
     finish = lambda k, s: [(k, s["last"] + gap_seconds, s["n"], ",".join(sorted(s["paths"])))] if s["n"] else []
     kind = events.schema[key].dataType.simpleString()
-    return _fold(e, key, ["t", "path"], lambda: {"first": None, "last": 0.0, "n": 0, "paths": set()}, step, finish, f"{key} {kind}, flushed_at double, events int, paths string")
+    return _fold(e, key, ["t", "path"], lambda: {"first": None, "last": 0.0, "n": 0, "paths": set()}, step, finish, f"{key} {kind}, flushed_at double, events int, paths string", gap_seconds)
 
 
 def coalesce_runs(requests: DataFrame, key: str, seconds: float) -> DataFrame:
@@ -109,17 +124,17 @@ def coalesce_runs(requests: DataFrame, key: str, seconds: float) -> DataFrame:
                 s["end"] = None
         return out
 
-    def step(k, s, r):
-        out = due(k, s, r.t)
+    def step(k, s, t, full):
+        out = due(k, s, t)
         if s["end"] is None:
-            s["end"] = r.t + seconds
-            return [*out, (k, r.t, bool(r.full), 1)]
+            s["end"] = t + seconds
+            return [*out, (k, t, bool(full), 1)]
         s["n"] += 1
-        s["full"] = s["full"] or bool(r.full)
+        s["full"] = s["full"] or bool(full)
         return out
 
     kind = requests.schema[key].dataType.simpleString()
-    return _fold(e, key, ["t", "full"], lambda: {"end": None, "n": 0, "full": False}, step, lambda k, s: due(k, s, float("inf")) if s["n"] else [], f"{key} {kind}, started_at double, full boolean, requests int")
+    return _fold(e, key, ["t", "full"], lambda: {"end": None, "n": 0, "full": False}, step, lambda k, s: due(k, s, float("inf")) if s["n"] else [], f"{key} {kind}, started_at double, full boolean, requests int", 2 * seconds)  # one run and its follow-up
 
 
 def sliding_log(attempts: DataFrame, key: str, limit: int, window_seconds: float) -> DataFrame:
@@ -128,15 +143,15 @@ def sliding_log(attempts: DataFrame, key: str, limit: int, window_seconds: float
     attempt_id, t (seconds). The state is the last ``limit`` allowed times."""
     e = attempts.where(F.col("t").isNotNull() & F.col(key).isNotNull()).select(key, "attempt_id", F.col("t").cast("double").alias("t"))
 
-    def step(k, s, r):
+    def step(k, s, attempt, t):
         kept = s["kept"]
-        while kept and kept[0] < r.t - window_seconds:
+        while kept and kept[0] < t - window_seconds:
             kept.pop(0)
         if len(kept) >= limit:
-            return [(k, r.attempt_id, r.t, False, max(window_seconds - (r.t - kept[0]), 1.0))]
-        kept.append(r.t)
-        return [(k, r.attempt_id, r.t, True, 0.0)]
+            return [(k, attempt, t, False, max(window_seconds - (t - kept[0]), 1.0))]
+        kept.append(t)
+        return [(k, attempt, t, True, 0.0)]
 
     kind = attempts.schema[key].dataType.simpleString()
     aid = attempts.schema["attempt_id"].dataType.simpleString()
-    return _fold(e, key, ["t", "attempt_id"], lambda: {"kept": []}, step, lambda k, s: [], f"{key} {kind}, attempt_id {aid}, t double, allowed boolean, retry_after double")
+    return _fold(e, key, ["t", "attempt_id"], lambda: {"kept": []}, step, lambda k, s: [], f"{key} {kind}, attempt_id {aid}, t double, allowed boolean, retry_after double", window_seconds + 1e-6)  # an attempt exactly a window old still counts

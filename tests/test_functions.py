@@ -18,7 +18,7 @@ def test_text(spark):
     assert one(spark, text.signature_of(lit("\tdef f():\r\n  x")), text.signature_of(lit(""))) == ("def f():", "")
     assert one(spark, text.relative_path(lit("/a/b/c"), lit("/a/b/")), text.relative_path(lit("/a/bc"), lit("/a/b"))) == ("c", "/a/bc")
     assert one(spark, text.ancestors(lit("/a/b"))) == (["/a/b", "/a"],)
-    assert one(spark, *(text.human_age(lit(n)) for n in (45, 720, 10800, 200000))) == ("45s", "12m", "3h", "2d")
+    assert one(spark, *(text.human_age(lit(n)) for n in (45, 720, 10800, 200000))) == ("45s", "12m", "3.0h", "2.3d")
 
 
 def test_scores(spark):
