@@ -68,3 +68,14 @@ def ema(ordered_values: Column, seed: float = 3.0, keep: float = 0.75) -> Column
 def retry_hint(remaining: Column, average: Column, least: int = 5) -> Column:
     """Seconds to wait: what the running batch has left, else the average, at least five."""
     return F.greatest(F.lit(least), F.coalesce(remaining, average).cast("int"))
+
+
+def retry_after_seconds(header: Column, default: float, most: float = 120.0) -> Column:
+    """Seconds to wait by a Retry-After header: a positive whole number of seconds, at most two minutes, else the default.
+    The reference's jitter is left out."""
+    n = F.when(F.regexp_like(header, F.lit(r"^[+-]?\d{1,18}$")), header.cast("bigint"))
+    return F.when(n > 0, F.least(n.cast("double"), F.lit(most))).otherwise(F.lit(float(default)))
+
+
+def elapsed_seconds(begin: Column, end: Column) -> Column:
+    return (F.unix_micros(end) - F.unix_micros(begin)) / 1_000_000

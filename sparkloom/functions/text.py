@@ -21,7 +21,7 @@ _CLIENT_LACKS = frozenset("zig julia fortran objc tsx commonlisp graphql regex c
 _CLIENT_ADDS = {".tsx": "typescript", ".rst": "rst", ".proto": "protobuf", ".vue": "vue"}
 _CLIENT_LACKS_EXT = frozenset((".kts", ".hcl"))
 
-# Instructions that embedding models want before a query.
+# Instructions that embedding models want before a query, by a part of the model's name.
 QUERY_PREFIX = {
     "coderankembed": "Represent this query for searching relevant code: ",
     "nomic-embed-text": "search_query: ",
@@ -101,6 +101,11 @@ def signature_of(content: Column) -> Column:
     return F.trim(F.element_at(F.split(content, "\n", 2), 1), F.lit(" \t\r\n"))
 
 
+def query_instruction(model: str) -> str:
+    """``query_prefix`` of a name at hand."""
+    return next((v for k, v in QUERY_PREFIX.items() if k in model.lower()), "")
+
+
 def query_prefix(model: Column) -> Column:
     out, low = None, F.lower(model)
     for k, v in QUERY_PREFIX.items():
@@ -132,3 +137,43 @@ def accepts(header: Column, media_type: str) -> Column:
 def repository_of_directory(name: Column) -> Column:
     """owner__model -> owner/model, at the first double underscore."""
     return F.regexp_replace(name, r"^(.*?)__", "$1/")
+
+
+def normalized_email(email: Column) -> Column:
+    return F.lower(F.trim(email))
+
+
+def limiter_key(address: Column, email: Column) -> Column:
+    """The key under which attempts of one address and account are counted."""
+    return F.concat(address, F.lit("|"), normalized_email(email))
+
+
+def key_prefix(key: Column, shown: int = 12) -> Column:
+    """The part of a key that lists show: its first characters."""
+    return F.substring(key, 1, shown)
+
+
+def status_label(status: Column) -> Column:
+    """A project's status as the command line shows it; unknown ones as they are."""
+    out = F.when(status == "indexed", "\u2713 Indexed").when(status == "indexing", "\u23f3 Indexing")
+    return out.when(status == "created", "\u25cb Created (not indexed)").when(status == "error", "\u2717 Error").otherwise(status)
+
+
+def directory_of_repository(repository: Column) -> Column:
+    """owner/model -> owner__model, at the first slash."""
+    return F.regexp_replace(repository, r"^([^/]*)/", "$1__")
+
+
+def rfc3339(at: Column) -> Column:
+    """A timestamp as UTC text with microseconds."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def parsed_time(value: Column) -> Column:
+    """A timestamp of a text, null where it is none."""
+    return F.try_to_timestamp(value)
+
+
+def int_or_zero(value: Column) -> Column:
+    """A number kept as text in a map of metadata; 0 where it is missing or no number."""
+    return F.coalesce(value.try_cast("int"), F.lit(0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -319,6 +319,15 @@ for _x in "typescript javascript go rust java tsx c cpp c_sharp php swift kotlin
     CHUNKERS[_x] = lambda lines, _x=_x: braced_pieces(lines, _x)
 
 
+def enabled_languages(wanted: Sequence[str], chunkers: dict[str, Callable] | None = None) -> tuple[dict[str, Callable], list[str]]:
+    """(chunkers of the wanted languages, names without one): an allow-list; an empty one allows all."""
+    known = CHUNKERS if chunkers is None else chunkers
+    if not wanted:
+        return dict(known), []
+    names = {w.strip().lower() for w in wanted} - {""}
+    return {n: known[n] for n in sorted(names & known.keys())}, sorted(names - known.keys())
+
+
 def _windows(data: str) -> list[tuple[str, int, int]]:
     b = data.encode()
     out = []

@@ -30,3 +30,12 @@ def longest_root(paths: DataFrame, roots: DataFrame, path_col: str = "path", roo
     j = p.select("_p", F.explode(ancestors(F.col("_p"))).alias("_a")).join(r, F.col("_a") == F.col("_r"))
     best = j.groupBy("_p").agg(F.max_by("_r", F.length("_r")).alias("_best"))
     return p.join(best, "_p", "left").select(F.col("_p").alias(path_col), F.coalesce("_best", "_p").alias("resolved"))
+
+
+def creatable(projects: DataFrame, candidates: DataFrame, path_col: str = "path") -> DataFrame:
+    """(path, status) of distinct candidate project paths: exists, overlaps (it lies above or below a project) or new."""
+    clean = lambda d: d.select(F.regexp_replace(F.col(path_col), r"(?<=.)/$", "").alias("path")).where("path <> ''").distinct()
+    c, p = clean(candidates), clean(projects)
+    over = overlapping_roots(p, c).select(F.col("right_path").alias("path")).distinct().withColumn("_o", F.lit(True))
+    j = c.join(p.withColumn("_e", F.lit(True)), "path", "left").join(over, "path", "left")
+    return j.select("path", F.when(F.col("_e"), "exists").when(F.col("_o"), "overlaps").otherwise("new").alias("status"))

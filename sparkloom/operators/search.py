@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import scores, text
 
 #: Languages up to which each has its own search; factors by which the candidate window widens.
 MAX_FANOUT = 4
@@ -208,9 +208,10 @@ def merge_overlaps(hits: DataFrame, keys: Sequence[str] = ("file_path",)) -> Dat
     """
     ks = list(keys)
     sized = hits.withColumn("symbol_name", F.coalesce("symbol_name", F.lit("")))
-    w = Window.partitionBy(*ks).orderBy("start_line", F.desc("end_line"), "rank")
-    reach = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start_line") > reach + 1), 1).otherwise(0)
+    low, high = F.least("start_line", "end_line"), F.greatest("start_line", "end_line")  # reversed bounds meet what lies between them
+    w = Window.partitionBy(*ks).orderBy(low, high.desc(), "rank")
+    reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reach.isNull() | (low > reach + 1), 1).otherwise(0)
     isles = sized.withColumn("_new", new).withColumn("_isle", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     isles = isles.withColumn("_isle", F.when(F.col("start_line").isNull() | F.col("end_line").isNull(), -F.col("rank").cast("bigint")).otherwise(F.col("_isle")))
     item = F.struct(
@@ -259,3 +260,9 @@ def semantic_search(docs: DataFrame, query: Sequence[float], limit: int | None =
     hits = adaptive_window(docs, query, n, languages, id_col, arrow, min_score=min_score, paths=paths, excludes=excludes)
     cols = [c for c in ("file_path", "start_line", "end_line", "score", "symbol_name", "chunk_type", "language", "content", "rank") if c in hits.columns]
     return group_by_file(merge_overlaps(hits.select(*cols)), n)
+
+
+def text_search(docs: DataFrame, query: str, make: Callable[[], Callable[[list[str]], list[list[float]]]], model: str = "", **kw) -> DataFrame:
+    """``semantic_search`` for a text: the query is embedded, after the instruction that the model wants before queries, by
+    the embedder that made the docs' vectors (``sources.embedders.embed_column``)."""
+    return semantic_search(docs, make()([text.query_instruction(model) + query])[0], **kw)

@@ -78,6 +78,18 @@ def project_symbols(symbols: DataFrame, project: str) -> DataFrame:
     return symbols.where(F.col("project_path") == project).orderBy("kind", "name", "file_path", "line")
 
 
+def first_symbols(symbols: DataFrame, most: int = 20) -> DataFrame:
+    """The first symbols of each project, in order of file, line and name (a project's storage order, made definite)."""
+    w = Window.partitionBy("project_path").orderBy("file_path", "line", "name", "symbol_id")
+    return symbols.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def newest_first(rows: DataFrame, at: str, key: str, limit: int | None = None) -> DataFrame:
+    """The rows by time, the newest first, ties by key; as a list shows projects, keys and sessions."""
+    out = rows.orderBy(F.desc(at), F.asc(key))
+    return out.limit(limit) if limit else out
+
+
 def names_by_language(symbols: DataFrame) -> DataFrame:
     """(language, symbols): the number of named symbols of each language; a null or empty one counts as (unknown)."""
     lang = F.coalesce(F.nullif(F.col("language"), F.lit("")), F.lit("(unknown)"))

@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from ..functions.text import LANGUAGE_OF_NAME, extension_map
-from ..operators.symbols import SKIPPED_NAMES
-from ..streaming.folds import EXCLUDED_DIRS, EXCLUDED_EXTENSIONS
+# Fixed values, written out here so that the SQL does not depend on the library it checks: languages by name and by
+# extension (of the index, of the client), names that are no references, directories and extensions that a watcher drops.
+_OF_NAME = "CMakeLists.txt=cmake Makefile=make GNUmakefile=make Dockerfile=dockerfile"
+_OF_EXTENSION = (
+    ".py=python .go=go .rs=rust .java=java .c=c .h=c .cpp=cpp .cc=cpp .cxx=cpp .hpp=cpp .cs=c_sharp .swift=swift .kt=kotlin .kts=kotlin .scala=scala .zig=zig .jl=julia "
+    ".f90=fortran .f95=fortran .f03=fortran .f=fortran .m=objc .mm=objc .ts=typescript .tsx=tsx .js=javascript .jsx=javascript .rb=ruby .php=php .lua=lua .sh=bash .bash=bash "
+    ".zsh=bash .r=r .dart=dart .ex=elixir .exs=elixir .erl=erlang .hs=haskell .ml=ocaml .lisp=commonlisp .cl=commonlisp .svelte=svelte .html=html .css=css .scss=scss .sql=sql "
+    ".yaml=yaml .yml=yaml .json=json .toml=toml .xml=xml .md=markdown .graphql=graphql .gql=graphql .re=regex .tf=hcl .hcl=hcl .cmake=cmake "
+)
+_OF_EXTENSION_CLIENT = (
+    ".py=python .go=go .rs=rust .java=java .c=c .h=c .cpp=cpp .cc=cpp .cxx=cpp .hpp=cpp .cs=c_sharp .swift=swift .kt=kotlin .scala=scala .ts=typescript .js=javascript "
+    ".jsx=javascript .rb=ruby .php=php .lua=lua .sh=bash .bash=bash .zsh=bash .r=r .dart=dart .ex=elixir .exs=elixir .erl=erlang .hs=haskell .ml=ocaml .svelte=svelte "
+    ".html=html .css=css .scss=scss .sql=sql .yaml=yaml .yml=yaml .json=json .toml=toml .xml=xml .md=markdown .tf=hcl .tsx=typescript .rst=rst .proto=protobuf .vue=vue "
+)
+_NO_REFERENCES = (
+    "self cls None True False print len range type list dict set tuple int str float bool bytes object Exception isinstance hasattr getattr setattr undefined null true false "
+    "console window document Array Object String Number Boolean Promise Map Set nil fmt err ctx Ok Err Some this super void "
+)
+_DIRS = "node_modules .git .venv __pycache__ dist build .next .cache .DS_Store .idea .vscode vendor target .svn .hg coverage .nyc_output .tox .eggs .gradle .mvn"
+_EXTENSIONS = ".pyc .pyo .class .o .obj .exe .dll .so .dylib .a .lib .jpg .jpeg .png .gif .ico .svg .mp3 .mp4 .avi .mov .wav .zip .tar .gz .rar .7z .lock .sum .swp .swx .swo .tmp .bak"
 
 ORACLE: dict[str, str] = {}
 
@@ -86,20 +103,24 @@ ORACLE["symbol_definitions"] = f"WITH l AS (SELECT *, CASE WHEN name = 'render%'
 ORACLE["symbols_by_language"] = "SELECT coalesce(nullif(language, ''), '(unknown)') AS language, count(*) AS symbols FROM symbols WHERE name <> '' GROUP BY 1"
 ORACLE["latest_symbols"] = "SELECT symbol_id, file_id, name, kind, line FROM symbols QUALIFY row_number() OVER (PARTITION BY file_id, name, kind, line ORDER BY indexed_at DESC, symbol_id DESC) = 1"
 
-def _map(m: dict[str, str]) -> str:
-    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in m.items()) + "}"
+def _map(pairs: str) -> str:
+    return "MAP {" + ", ".join("'{}': '{}'".format(*x.split("=")) for x in pairs.split()) + "}"
+
+
+def _list(words: str) -> str:
+    return ", ".join(f"'{x}'" for x in words.split())
 
 
 _BASE = "string_split(path, '/')[-1]"
 _EXT = f"lower(regexp_extract({_BASE}, '(\\.[^.]*)$', 1))"
-_LANGUAGE = f"coalesce({_map(LANGUAGE_OF_NAME)}[{_BASE}], {_map(extension_map())}[{_EXT}])"
-_CLIENT = f"{_map(extension_map(client=True))}[{_EXT}]"
+_LANGUAGE = f"coalesce({_map(_OF_NAME)}[{_BASE}], {_map(_OF_EXTENSION)}[{_EXT}])"
+_CLIENT = f"{_map(_OF_EXTENSION_CLIENT)}[{_EXT}]"
 _PARTS = "list_filter(string_split(path, '/'), lambda x: x <> '')"
 _BUCKET = f"CASE WHEN len({_PARTS}) > 3 THEN array_to_string({_PARTS}[1:4], '/') WHEN len({_PARTS}) > 1 THEN array_to_string({_PARTS}[1:2], '/') END"
 ORACLE["files_like"] = f"SELECT DISTINCT path AS file_path, {_LANGUAGE} AS language FROM file_payloads WHERE {_FOLD.format('path')} LIKE '%token%' ORDER BY file_path LIMIT 1000"
 ORACLE["path_languages"] = f"SELECT DISTINCT path, {_LANGUAGE} AS language, {_CLIENT} AS client_language, {_EXT} AS ext, {_BUCKET} AS bucket FROM file_payloads"
 
-_SKIPPED = ", ".join(f"'{x}'" for x in sorted(SKIPPED_NAMES))
+_SKIPPED = _list(_NO_REFERENCES)
 _REFERENCES = f"""WITH l AS (
   SELECT path, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT path, string_split(content, chr(10)) AS ls FROM (SELECT DISTINCT path, language, content FROM file_payloads WHERE content IS NOT NULL))
 ), r AS (
@@ -176,8 +197,8 @@ ORACLE["longest_prefix_root"] = f"""
 WITH r AS (SELECT host_path AS root FROM projects UNION SELECT regexp_extract(path, '^(/[^/]+/[^/]+/[^/]+/[^/]+)/', 1) FROM {_FILES} WHERE file_id % 3 = 0), f AS (SELECT DISTINCT path FROM file_payloads)
 SELECT path, coalesce((SELECT arg_max(root, length(root)) FROM r WHERE root <> '' AND (f.path = root OR starts_with(f.path, root || '/'))), path) AS resolved FROM f
 """
-_IN_DIRS = ", ".join(f"'{x}'" for x in sorted(EXCLUDED_DIRS))
-_IN_EXT = ", ".join(f"'{x}'" for x in sorted(EXCLUDED_EXTENSIONS))
+_IN_DIRS = _list(_DIRS)
+_IN_EXT = _list(_EXTENSIONS)
 _RELP = "CASE WHEN starts_with(path, project_path || '/') THEN substr(path, length(project_path) + 2) ELSE path END"
 ORACLE["watch_actions"] = f"""
 SELECT DISTINCT rel, CASE WHEN rel = '.git/HEAD' THEN 'immediate' WHEN len(list_filter(ds, lambda x: x IN ({_IN_DIRS}) OR ends_with(x, '.egg-info'))) > 0 THEN 'drop' WHEN b IN ('.gitignore', '.indexignore', '.indexconfig.yaml') THEN 'full'
@@ -238,3 +259,77 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED P
 SELECT user_id, min(t) AS first_us, max(t) AS last_us, count(*) AS events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM s GROUP BY user_id, k
 """
 ORACLE["progress_events"] = "SELECT event_type AS run_id, count(*) AS events, count(nullif(event_id % 5, 0)) AS with_chunks, sum(nullif(event_id % 5, 0))::BIGINT AS chunks, 0::BIGINT AS messages, max('/p/' || event_id) AS last_path FROM events GROUP BY 1"
+
+_REFS = """p AS (SELECT path, i, regexp_extract_all(l, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+') AS ps FROM (
+    SELECT path, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT path, string_split(content, chr(10)) AS ls FROM (SELECT DISTINCT path, content FROM file_payloads WHERE {0}))) WHERE {1}),
+n AS (SELECT path, i, ps, unnest(ps) AS name, unnest(range(1, len(ps) + 1)) AS k FROM p)"""
+ORACLE["reference_search"] = f"""WITH {_REFS.format("contains(content, 'logger')", "contains(l, 'logger')")}
+SELECT path AS file_path, i::INTEGER AS start_line, i::INTEGER AS end_line, 'reference' AS chunk_type, name AS symbol_name, coalesce(list_sum(list_transform(ps[1:k - 1], lambda x: octet_length(encode(x)))), 0)::INTEGER AS col
+FROM n WHERE name = 'logger' ORDER BY file_path, start_line, col LIMIT 1000"""
+ORACLE["references_elsewhere"] = f"""WITH {_REFS.format("content IS NOT NULL", "true")}, r AS (SELECT path, i, name, k FROM n WHERE regexp_matches(name, '^[A-Za-z_]') AND length(name) >= 2 AND name NOT IN ({_SKIPPED}))
+SELECT name, count(*) AS uses FROM r WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.file_path = r.path AND s.name = r.name AND s.line = r.i) GROUP BY name"""
+ORACLE["overlap_merge"] = """
+WITH RECURSIVE h AS (
+  SELECT search_id, file_path, start_line AS s, end_line AS e, score, hit_id, coalesce(symbol_name, '') <> '' AS named FROM search_hits WHERE file_path IS NOT NULL AND score IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY search_id, file_path, start_line, end_line ORDER BY score DESC, hit_id) = 1
+), o AS (SELECT *, row_number() OVER (PARTITION BY search_id, file_path ORDER BY s - e, s, score DESC, hit_id) AS i FROM h WHERE s IS NOT NULL AND e IS NOT NULL),
+m AS (SELECT search_id, file_path, max(i) AS m FROM o GROUP BY 1, 2),
+f AS (
+  SELECT search_id, file_path, 0::BIGINT AS i, []::STRUCT(s INTEGER, e INTEGER, named BOOLEAN, hit_id BIGINT, best DOUBLE, n INTEGER)[] AS ps FROM m
+  UNION ALL
+  SELECT search_id, file_path, i, CASE WHEN spot > 0 THEN list_transform(ps, lambda p, j: CASE WHEN j = spot THEN {'s': p.s, 'e': p.e, 'named': p.named, 'hit_id': p.hit_id, 'best': greatest(p.best, score), 'n': p.n + 1} ELSE p END)
+    ELSE list_append(ps, {'s': s, 'e': e, 'named': named, 'hit_id': hit_id, 'best': score, 'n': 0::INTEGER}) END
+  FROM (SELECT f.search_id, f.file_path, o.i, o.s, o.e, o.named, o.hit_id, o.score, f.ps, coalesce(list_position(list_transform(f.ps, lambda p: (p.s <= o.s AND p.e >= o.e AND (p.s <> o.s OR p.e <> o.e)) OR ((p.named OR o.named) AND (p.e + 1 = o.s OR o.e + 1 = p.s))), true), 0) AS spot
+        FROM f JOIN o ON o.search_id = f.search_id AND o.file_path = f.file_path AND o.i = f.i + 1)
+)
+SELECT search_id, file_path, p.hit_id AS hit_id, p.s AS start_line, p.e AS end_line, p.best AS score, p.n AS absorbed FROM (SELECT f.search_id, f.file_path, unnest(ps) AS p FROM f JOIN m ON m.search_id = f.search_id AND m.file_path = f.file_path AND m.m = f.i)
+UNION ALL SELECT search_id, file_path, hit_id, s, e, score, 0 FROM h WHERE s IS NULL OR e IS NULL
+"""
+ORACLE["oversize_split"] = """
+WITH RECURSIVE c AS (SELECT * FROM chunks WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id) = 1),
+l AS (SELECT chunk_id, unnest(ls) AS x, unnest(range(0, len(ls))) AS i FROM (SELECT chunk_id, list_transform(string_split(content, chr(10)), lambda y: octet_length(encode(y))) AS ls FROM c WHERE octet_length(encode(content)) > 4500)),
+f AS (
+  SELECT chunk_id, 0::BIGINT AS i, 0::BIGINT AS spot, x::BIGINT AS b FROM l WHERE i = 0
+  UNION ALL SELECT f.chunk_id, l.i, CASE WHEN f.b + 1 + l.x >= 4500 THEN l.i ELSE f.spot END, CASE WHEN f.b + 1 + l.x >= 4500 THEN l.x ELSE f.b + 1 + l.x END FROM f JOIN l ON l.chunk_id = f.chunk_id AND l.i = f.i + 1
+), p AS (SELECT chunk_id, spot, max(i) AS z, max(b) AS b FROM f GROUP BY 1, 2), q AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY spot) - 1 AS no, row_number() OVER (PARTITION BY chunk_id ORDER BY spot DESC) = 1 AS fin FROM p)
+SELECT chunk_id, no::INTEGER AS piece_no, b::INTEGER AS bytes, (start_line + spot)::INTEGER AS start_line, CASE WHEN fin THEN end_line ELSE (start_line + z)::INTEGER END AS end_line, CASE WHEN no = 0 THEN chunk_type ELSE 'block' END AS chunk_type, CASE WHEN no = 0 THEN symbol_name END AS symbol_name FROM q JOIN c USING (chunk_id)
+UNION ALL SELECT chunk_id, 0, octet_length(encode(content))::INTEGER, start_line, end_line, chunk_type, symbol_name FROM c WHERE octet_length(encode(content)) <= 4500
+"""
+_SECONDS = "t AS (SELECT user_id AS k, epoch_us(ts)::DOUBLE / 1000000.0::DOUBLE AS t, event_type AS p, event_id FROM events)"
+ORACLE["debounce_capped"] = f"""
+WITH RECURSIVE {_SECONDS}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, p) AS i FROM t),
+f AS (
+  SELECT k, i, t, p, t AS first, 1::BIGINT AS s, false AS whole FROM o WHERE i = 1
+  UNION ALL SELECT k, i, t, p, first, s, t - first >= 86400 FROM (SELECT o.k, o.i, o.t, o.p, CASE WHEN f.whole OR o.t - f.t >= 21600 THEN o.t ELSE f.first END AS first, CASE WHEN f.whole OR o.t - f.t >= 21600 THEN f.s + 1 ELSE f.s END AS s FROM f JOIN o ON o.k = f.k AND o.i = f.i + 1)
+)
+SELECT k AS user_id, CASE WHEN bool_or(whole) THEN max(t) ELSE max(t) + 21600 END AS flushed_at, count(*)::INTEGER AS events, string_agg(DISTINCT p, ',' ORDER BY p) AS paths FROM f GROUP BY k, s
+"""
+ORACLE["rate_limit"] = f"""
+WITH RECURSIVE {_SECONDS}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, event_id) AS i FROM t),
+f AS (
+  SELECT k, i, t, event_id, [t] AS l, true AS allowed, 0::DOUBLE AS retry FROM o WHERE i = 1
+  UNION ALL SELECT k, i, t, event_id, CASE WHEN len(l) < 3 THEN list_append(l, t) ELSE l END, len(l) < 3, CASE WHEN len(l) < 3 THEN 0 ELSE greatest(86400.0::DOUBLE - (t - l[1]), 1.0::DOUBLE) END
+  FROM (SELECT o.k, o.i, o.t, o.event_id, list_filter(f.l, lambda x: x >= o.t - 86400) AS l FROM f JOIN o ON o.k = f.k AND o.i = f.i + 1)
+)
+SELECT k AS user_id, event_id AS attempt_id, t, allowed, retry AS retry_after FROM f
+"""
+ORACLE["run_coalesce"] = f"""
+WITH RECURSIVE {_SECONDS}, o AS (SELECT k, t, p = 'purchase' AS whole, row_number() OVER (PARTITION BY k ORDER BY t, p = 'purchase') AS i FROM t),
+f AS (
+  SELECT k, i, t AS run, whole, t + 28800 AS e, false AS pending FROM o WHERE i = 1
+  UNION ALL SELECT k, i, CASE WHEN e <= t THEN t ELSE e END, whole, CASE WHEN e <= t THEN t + 28800 ELSE e END, e > t FROM (SELECT o.k, o.i, o.t, o.whole, CASE WHEN f.pending AND f.e <= o.t THEN f.e + 28800 ELSE f.e END AS e FROM f JOIN o ON o.k = f.k AND o.i = f.i + 1)
+)
+SELECT k AS user_id, run AS started_at, bool_or(whole) AS "full", count(*)::INTEGER AS requests FROM f GROUP BY k, run
+"""
+ORACLE["index_finish"] = f"""
+WITH h AS (SELECT * FROM {_FILES} WHERE file_id % 5 <> 0), g AS (SELECT path FROM file_payloads WHERE file_id % 5 = 0),
+l AS (SELECT project_path, '["' || string_agg(l, '","' ORDER BY l) || '"]' AS languages FROM (SELECT DISTINCT project_path, {_LANGUAGE} AS l FROM h) WHERE l IS NOT NULL GROUP BY 1)
+SELECT project_path, count(*) AS indexed_files, (SELECT count(DISTINCT chunk_id) FROM chunks c WHERE c.project_path = h.project_path AND c.file_path NOT IN (SELECT path FROM g)) AS total_chunks,
+  (SELECT count(*) FROM symbols s WHERE s.project_path = h.project_path AND s.file_path NOT IN (SELECT path FROM g)) AS total_symbols, any_value(l.languages) AS languages FROM h LEFT JOIN l USING (project_path) GROUP BY project_path
+"""
+ORACLE["project_details"] = f"""
+WITH t AS ({_HISTOGRAM} 10), d AS (SELECT project_path, string_agg(dir || ':' || file_count, ',' ORDER BY file_count DESC, dir) AS directories FROM t GROUP BY 1),
+y AS (SELECT * FROM symbols QUALIFY row_number() OVER (PARTITION BY project_path ORDER BY file_path, line, name, symbol_id) <= 20), s AS (SELECT project_path, string_agg(file_path || ':' || line || ':' || name, ',' ORDER BY file_path, line, name, kind) AS symbols FROM y GROUP BY 1)
+SELECT host_path AS project_path, status, coalesce(languages, '[]') AS languages, (SELECT count(*) FROM {_FILES} f WHERE f.project_path = host_path) AS total_files, (SELECT count(*) FROM symbols x WHERE x.project_path = host_path) AS total_symbols, coalesce(directories, '') AS directories, coalesce(s.symbols, '') AS symbols
+FROM projects LEFT JOIN d ON d.project_path = host_path LEFT JOIN s ON s.project_path = host_path
+"""

@@ -170,15 +170,16 @@ def files_like(spark, d):
 
 @query
 def reference_counts(spark, d):
-    f = table(spark, d, "file_payloads").select("path", "language", "content").distinct()
+    f = table(spark, d, "file_payloads").select("path", "language", "content")  # repeated payloads repeat lines, made distinct below
     per = symbols.extract_references(f).select("name", "file_path", "line").distinct().groupBy("name", "file_path").agg(F.count("*").alias("n"))
     return per.groupBy("name").agg(F.sum("n").alias("lines"), F.count("*").alias("files"))
 
 
 @query
 def reference_search(spark, d):
-    f = table(spark, d, "file_payloads").select("path", "language", "content").distinct()
-    return symbols.references(symbols.extract_references(f), "logger", limit=1000).select("file_path", "start_line", "end_line", "chunk_type", "symbol_name", "col")
+    f = table(spark, d, "file_payloads").where(F.contains("content", F.lit("logger"))).select("path", "language", "content")
+    uses = symbols.extract_references(f).where("name = 'logger'").distinct()
+    return symbols.references(uses, "logger", limit=1000).select("file_path", "start_line", "end_line", "chunk_type", "symbol_name", "col")
 
 
 # -- chunks -------------------------------------------------------------------------------------------------------------
@@ -206,9 +207,9 @@ def oversize_split(spark, d):
 
 @query
 def structural_chunks(spark, d):
-    f = table(spark, d, "file_payloads").select("file_id", "language", "content").distinct()
-    c = chunking.chunk_files(f)
-    return c.groupBy("language", "chunk_type").agg(F.count("*").alias("chunks"), F.count_distinct("file_id").alias("files"), F.max(F.octet_length("content")).alias("largest"))
+    c = chunking.chunk_files(table(spark, d, "file_payloads").select("file_id", "language", "content"))
+    c = c.select("file_id", "language", "idx", "piece_no", "chunk_type", F.octet_length("content").alias("bytes")).distinct()  # repeated payloads
+    return c.groupBy("language", "chunk_type").agg(F.count("*").alias("chunks"), F.count_distinct("file_id").alias("files"), F.max("bytes").alias("largest"))
 
 
 @query

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..streaming.folds import EXCLUDED_DIRS
 
-# Directories, files and extensions that discovery leaves out, and the size limit.
-EXCLUDED_DIRS = tuple("node_modules .git .venv __pycache__ dist build .next .cache .DS_Store .idea .vscode vendor target .svn .hg coverage .nyc_output .tox .eggs .gradle .mvn".split())
+# Files and extensions that discovery leaves out, and the size limit; the directories are the watcher's.
 CONFIG_FILES = (".gitignore", ".gitmodules")
 #: Files with ignore rules, and the index's own files; parameters, as an installation may name its own otherwise.
 RULE_FILES = (".gitignore", ".indexignore")
@@ -220,11 +220,14 @@ def text_only(files: DataFrame, content: str = "content") -> DataFrame:
     return files.where(sniffed(F.substring(content, 1, 512)))
 
 
-def discover(spark: SparkSession, root: str, exclude_dirs: Sequence[str] = (), max_size: int = MAX_SIZE, rule_files: Sequence[str] = RULE_FILES, own_files: Sequence[str] = OWN_FILES) -> DataFrame:
+def discover(spark: SparkSession, root: str, exclude_dirs: Sequence[str] = (), max_size: int = MAX_SIZE, rule_files: Sequence[str] = RULE_FILES, own_files: Sequence[str] = OWN_FILES, submodules: bool = False) -> DataFrame:
     """(path, rel_path, content, content_hash, language, size): the text files below a directory that no rule leaves out,
-    in no order; language as the client detects it."""
+    in no order; language as the client detects it. With ``submodules`` the directories that .gitmodules lists are left
+    out too."""
     found = scan(spark, root, exclude_dirs)
     is_rule = text.base_name(F.col("rel_path")).isin(*rule_files)
     rules = rules_of(read_content(found.where(is_rule), root).withColumn("text", F.decode("content", "utf-8")), rule_files=rule_files)
+    modules = read_content(found.where(F.col("rel_path") == ".gitmodules"), root).select(F.lit("").alias("dir"), submodule_paths(F.decode("content", "utf-8")).alias("rules"))
+    rules = rules.unionByName(modules) if submodules else rules
     kept = text_only(read_content(not_ignored(keepable(found, exclude_dirs, max_size, own_files), rules), root))
     return kept.select("path", "rel_path", F.decode("content", "utf-8").alias("content"), F.sha2("content", 256).alias("content_hash"), text.detect_language_client(F.col("path")).alias("language"), F.col("length").alias("size"))

@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ident
+
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
@@ -60,3 +62,51 @@ def embed_column(rows: DataFrame, text_col: str, out_col: str, make: Callable[[]
             yield out
 
     return rows.withColumn(out_col, vectors(F.col(text_col)))
+
+
+def in_order(vectors: list[dict], n: int) -> list[list[float]]:
+    """The vectors of an embedding service's answer ({index, embedding} in any order) by their index; a missing, repeated or
+    surplus one is an error."""
+    out: list = [None] * n
+    for v in vectors:
+        i = v["index"]
+        if not 0 <= i < n or out[i] is not None:
+            raise ValueError(f"index {i} of {n} vectors")
+        out[i] = v["embedding"]
+    if None in out:
+        raise ValueError(f"{n} texts, {len(vectors)} vectors")
+    return out
+
+
+def with_special(ids: Column, first: int, last: int) -> Column:
+    """Token ids framed by the first and last special id."""
+    return F.concat(F.array(F.lit(first)), ids, F.array(F.lit(last)))
+
+
+def wire_payloads(requests: DataFrame, value: str = "value", most: int = 50) -> DataFrame:
+    """(request_id, files, error) of JSON requests (request_id, value): the files of each payload, or why it is refused (no
+    JSON, no files, more than ``most`` files)."""
+    shape = "struct<files:array<struct<path:string,content:string,content_hash:string,language:string,size:bigint>>>"
+    p = F.from_json(value, shape)["files"]
+    error = F.when(p.isNull(), "invalid").when(F.size(p) == 0, "empty").when(F.size(p) > most, "too many files")
+    return requests.select("request_id", F.when(error.isNull(), p).alias("files"), error.alias("error"))
+
+
+def write_collections(docs: DataFrame, root: str) -> None:
+    """Vectors as one collection per project: a Parquet table partitioned by the collection's name, so that a search of one
+    project reads its partition alone."""
+    docs.withColumn("collection", ident.collection_name(F.col("project_path"))).write.mode("overwrite").partitionBy("collection").parquet(root)
+
+
+def collection(spark, root: str, project: str) -> DataFrame:
+    """The vectors of one project, by partition pruning."""
+    return spark.read.parquet(root).where(F.col("collection") == ident.collection_name(F.lit(project)))
+
+
+def collection_counts(docs: DataFrame) -> DataFrame:
+    """(collection, vectors)"""
+    return docs.groupBy(ident.collection_name(F.col("project_path")).alias("collection")).agg(F.count("*").alias("vectors"))
+
+
+def drop_collection(docs: DataFrame, project: str) -> DataFrame:
+    return docs.where(F.coalesce(ident.collection_name(F.col("project_path")) != ident.collection_name(F.lit(project)), F.lit(True)))

@@ -70,9 +70,31 @@ def capped_debounce(events: DataFrame, key: str, gap_seconds: float = 5.0, cap_f
     return events.groupBy(key).applyInPandasWithState(run, schema, "first double, last double, n int, paths string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def parse_progress(lines: DataFrame, value: str = "value") -> DataFrame:
-    """NDJSON progress lines as columns; lines that are no JSON have a null event."""
-    return lines.select(F.from_json(value, PROGRESS).alias("e")).select("e.*")
+def change_source(spark, folder: str) -> DataFrame:
+    """A stream of change events (at, path, kind) from a folder to which a watcher adds NDJSON files."""
+    return spark.readStream.schema("at timestamp, path string, kind string").json(folder)
+
+
+def progress_source(spark, folder: str) -> DataFrame:
+    """A stream of progress events from a folder of NDJSON files."""
+    return parse_progress(spark.readStream.text(folder))
+
+
+def progress_sink(events: DataFrame, folder: str, checkpoint: str, every: str | None = None):
+    """Write a stream of progress events as NDJSON, one line per event; ``every`` is the trigger's interval (such as
+    "10 seconds"), without it what is there is written once. The started query is returned."""
+    w = to_progress(events).writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append")
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+# Bytes of the longest line that a reader takes.
+MAX_LINE = 1 << 20
+
+
+def parse_progress(lines: DataFrame, value: str = "value", most: int = MAX_LINE) -> DataFrame:
+    """NDJSON progress lines as columns; lines that are no JSON, or longer than ``most`` bytes, have a null event."""
+    short = F.when(F.octet_length(value) <= most, F.col(value))
+    return lines.select(F.from_json(short, PROGRESS).alias("e")).select("e.*")
 
 
 def to_progress(events: DataFrame) -> DataFrame:
@@ -89,3 +111,10 @@ def to_progress(events: DataFrame) -> DataFrame:
 def terminal_of(events: DataFrame, key: str = "run_id") -> DataFrame:
     """Each run's terminal events."""
     return events.where(F.col("event").isin(*TERMINAL)).groupBy(key).agg(F.count("*").alias("terminals"), F.max("event").alias("event"))
+
+
+def outcome_of(events: DataFrame, key: str = "run_id") -> DataFrame:
+    """(key, lines, outcome): done, failed or, where a stream ends without a terminal event or with more than one, broken."""
+    is_end = F.col("event").isin(*TERMINAL)
+    g = events.groupBy(key).agg(F.count("event").alias("lines"), F.count_if(is_end).alias("_n"), F.max(F.when(is_end, F.col("event"))).alias("_e"))
+    return g.select(key, "lines", F.when(F.col("_n") != 1, "broken").when(F.col("_e") == "error", "failed").otherwise("done").alias("outcome"))
