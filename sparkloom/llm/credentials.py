@@ -22,8 +22,12 @@ REDACTED = "REDACTED"
 _SECRET = frozenset(
     "password passwd pwd pass passphrase passcode passwort kennwort contrasena contrase\u00f1a clave motdepasse mdp senha parola "
     "wachtwoord haslo secret secrets token tok apikey auth authorization bearer basic credential credentials creds "
-    "privatekey accesskey secretkey signer pin otp jwt".split()
+    "privatekey accesskey secretkey signer pin otp jwt cred pw passkey".split()
 )
+# Words whose literal is a password, however weak, unless it is a placeholder.
+_PASSWORD = frozenset("password passwd pwd pw passphrase passcode passwort kennwort contrasena contrase\u00f1a clave motdepasse mdp senha parola wachtwoord haslo".split())
+# Words that a message about a password has, and a passphrase hardly.
+_FUNCTION_WORDS = frozenset("a an and are as at be by can choose do does empty enter field for forgot from has have if in incorrect invalid is it its may must new no not of old on one or please required reset same should that the this to too use was when will with wrong you your".split())
 # Words that make "<word>_key" a secret, and those that make it something else.
 _KEY_OF = frozenset("api secret access private signing sign encryption encrypt auth master service client payments payment billing remote deploy license account storage webhook session cookie hmac shared server admin app consumer indexer".split())
 _NOT_KEY = frozenset("public foreign sort primary partition authorized unique cache row object map group lookup index hash natural surrogate composite candidate".split())
@@ -38,7 +42,7 @@ _PLACEHOLDER = re.compile(
     r"(?i)^(?:[*x.\-_#?\u2022+0]+|(?:my|the|some|a|test|dummy|fake|sample|default|old|new|user|admin|db)?[_\- ]?(?:secret|password|passwd|pass|passwort|contrasena|token|key|apikey|api[_-]key|value|string|credentials?)"
     r"|none|null|nil|true|false|todo|fixme|tbd|undefined|redacted|removed|hidden|masked|unset|empty|n/?a|foo|bar|baz|foobar|test|testing|example|username|user|admin|root|guest|anonymous)$"
     r"|change[_\- ]?(?:me|this|it)|replace[_\- ]?(?:me|this|with)|your[_\- ]|\byours\b|goes[_\- ]?here|[_\- ]here$|insert[_\- ]|placeholder|dummy|^example|example$|fill[_\- ]?(?:me|in)|to[_\- ]?be[_\- ]|not[_\- ]?(?:a[_\- ])?real|"
-    r"^<.*>$|\$\{|\$\(|^\$[A-Za-z_]|\{\{|^%[({]?\w|^\[.*\]$|^@|^#\{|^env[.:/(]|^vault|/path/|^ssm:|^arn:|^secretsmanager|^keyvault|^op://|^sops|^enc\[|^x-[a-z-]+$"
+    r"^<.*>$|\$\{|\$\(|^\$[A-Za-z_]|\{\{|^%(?:[sdvq]$|\(\w+\)[sd]$|\{|\w+%$)|^\[.*\]$|^@|^#\{|^env[.:/(]|^vault|/path/|^ssm:|^arn:|^secretsmanager|^keyvault|^op://|^sops|^enc\[|^x-[a-z-]+$"
 )
 _UUID = re.compile(r"(?i)^\{?[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\}?$")
 _HEX = re.compile(r"(?i)^(?:0x)?[0-9a-f]{16,}$")
@@ -49,8 +53,17 @@ _NOT_SECRET_VALUE = re.compile(r"^(?:sha\d+[-:]|data:|ssh-|ecdsa-|AAAA|https?://
 # literals: a prefix (Python), then a quoted text with escapes; at least one character inside
 _STR = r"""(?:[rRbBuU]{0,2}(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|`[^`]*`)"""
 _JOIN = r"(?:[ \t]*(?:\\?\n[ \t]*)?(?:\+|\.\.|\|\||<>|&|\.)?[ \t]*(?:\\?\n[ \t]*)?)"
-# operator, opening bracket, literal and the literals joined to it; the name is looked up before the operator
-_ASSIGN = re.compile(r"(?:=>|[=:,])[ \t]*(?:\([ \t]*\n?[ \t]*)?(" + _STR + r")((?:" + _JOIN + _STR + r")*)")
+# one token: a comment, a literal, a word (with an apostrophe in it) or what lies between
+_TOKEN = re.compile(
+    r"""(?P<comment>(?<![:\w"'`/])//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/|(?:(?<=[\s;])|\A)\#(?![!{\[])[^\n]*+|(?:(?<=\s)|\A)--[ ][^\n]*+|<!--(?:[^-]|-(?!->))*+-->)"""
+    r"""|(?P<long>[rRbBuU]{0,2}(?:\"\"\"(?:[^"\\]|\\.|"(?!""))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''))|(?P<literal>""" + _STR + r""")"""
+    r"""|[A-Za-z_]\w*+(?:'(?:t|s|re|ve|ll|d|m)\b(?!'))?|[^"'`/\#A-Za-z_\-<]++|.""",
+    re.S,
+)
+# directly before a literal: the operator that gives it to a name, and an opening bracket
+_GIVEN = re.compile(r"(?:=>|[=:,])[ \t]*(?:\([ \t]*\n?[ \t]*)?\Z")
+# directly after it: the literals joined to it
+_JOINED = re.compile(r"(?:" + _JOIN + _STR + r")*")
 # name, closing quote or bracket, type annotation, first part of the operator
 _NAME = re.compile(r"""([A-Za-z_À-ɏ][\w.\-À-ɏ]*)["'`\]]{0,2}[ \t]*(?::[ \t]*(?:\*|&)?[A-Za-z_][\w.<>\[\]]*\??[ \t]*|[ \t]string[ \t]*)?(?::|\?\?|\|\|)?\Z""")
 _LIT = re.compile(_STR)
@@ -81,12 +94,10 @@ _FORMAT_HINTS = ("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox",
 #: The words at which a note begins. Lower-cased ASCII text without any has none; other text is always scanned, as case-
 #: insensitive patterns match some letters that lower-casing leaves.
 _NOTE_WORDS = ("log in", "log-in", "login", "sign in", "sign-in", "signin", "psql", "mysql", "sso", "vpn", "password", "passwort", "credentials", "credential", "creds", "account", "user", "fallback")
-# a login written out in a comment or in prose: a word of logging in, a user, a separator, the password
-_NOTE = re.compile(
-    r"(?i)\b(?:" + "|".join(_NOTE_WORDS) + r")\b(?:(?!--)[^\n\"'`])*?[ \t(:][a-z][\w.@\-]{2,31}"
-    r"(?:[ \t]+/[ \t]+|[ \t]*:[ \t]*|,[ \t]+|[ \t]+with(?:[ \t]+password)?[ \t]+|[ \t]+password(?:[ \t]+is)?:?[ \t]+|[ \t]+pw:?[ \t]+)([^\s\"'`]{6,}?)[,.;)]*(?=[ \t\r,]|$)",
-    re.M,
-)
+# a line that speaks of logging in
+_LOGIN_LINE = re.compile(r"(?i)\b(?:" + "|".join(_NOTE_WORDS) + r")\b(?:(?!--)[^\n\"'`])*")
+# within it: a user, what separates the two, the password
+_USER_AND = re.compile(r"(?i)(?<![\w.@\-])[a-z][\w.@\-]{2,31}(?:[ \t]+/[ \t]+|[ \t]*:[ \t]*|,[ \t]+|[ \t]+with(?:[ \t]+password)?[ \t]+|[ \t]+password(?:[ \t]+is)?:?[ \t]+|[ \t]+pw:?[ \t]+)(?=([^\s\"'`]{6,}?)[,.;)]*(?:[ \t\r,]|\Z))")
 # the beginning of a URL's scheme, which is read backwards from its "://" so that long values take linear time
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
 _SCHEME_START = re.compile(r"\b[a-z]", re.ASCII)
@@ -125,6 +136,8 @@ def name_class(name: str) -> int:
         if len(words) > 1 and words[-2] in _NOT_KEY:
             return 0
         return 2 if len(words) > 1 and words[-2] in _KEY_OF else 1
+    if last == "pw" and re.search(r"\d$", name):
+        return 1  # a short name that tools make
     if last in _SECRET or "mot_de_passe" in joined or joined.endswith("de_passe"):
         return 2
     return 1
@@ -134,7 +147,8 @@ def _classes(v: str) -> int:
     return bool(re.search("[a-z]", v)) + bool(re.search("[A-Z]", v)) + bool(re.search(r"\d", v)) + bool(re.search(r"[^\w\s/.:\-]", v))
 
 
-_SPOKEN = re.compile(r"^[a-z]{3,}(?:-[a-z]{3,})+\d{1,4}$")
+# words joined by marks, with digits at the end: a passphrase, where a name or a pair says that it is one
+_PASSPHRASE = re.compile(r"^[a-z]{3,}(?:[-_.][a-z]{3,})+[-_.]?\d{1,6}$")
 
 
 def strong(v: str) -> bool:
@@ -144,7 +158,7 @@ def strong(v: str) -> bool:
     if re.search(r"[{}()<>]|\$[A-Z_{]", v):
         return False
     n = _classes(v)
-    if n >= 3 or _SPOKEN.match(v) or _HEX.match(v):
+    if n >= 3 or _PASSPHRASE.match(v) or _HEX.match(v):
         return True
     digit = re.search(r"\d", v) is not None
     if n == 2 and digit and len(v) >= 8 and "/" not in v and not re.match(r"^[A-Za-z]+(?:[_\-.:][A-Za-z]+)*[_\-.:]?\d{1,5}$", v):
@@ -152,6 +166,30 @@ def strong(v: str) -> bool:
     return n == 2 and not digit and len(v) >= 10 and re.search(r"[a-z]", v) is not None and (re.search(r"[A-Z]", v) is None or len(re.findall(r"(?<=[a-z])[A-Z]|(?<=[A-Z])[A-Z](?=[a-z])", v)) >= 2) and not re.match(r"^[A-Za-z]+(?:[_\-.:/][A-Za-z]+)*$", v)
 
 
+def password(v: str) -> bool:
+    """Whether a text given to a password's own name is one: any but placeholders, references and messages, weak words too;
+    with spaces only plain words of a passphrase."""
+    if strong(v):
+        return True
+    if len(v) < 6 or _PLACEHOLDER.search(v) or _UUID.match(v) or _NOT_SECRET_VALUE.search(v) or re.search(r"[{}<>]|\$[A-Z_{(]|^\$", v):
+        return False
+    if re.search(r"\s", v):
+        words = v.split(" ")
+        return len(words) >= 4 and all(w.isalpha() and w.islower() for w in words) and _FUNCTION_WORDS.isdisjoint(words)
+    return re.fullmatch(r"[^\s()\[\];,]+", v) is not None and re.fullmatch(r"[a-z]+([._/][a-z]+)+", v, re.I) is None and _SECRET.isdisjoint(_words_of(v))
+
+
+def credential(name: str, v: str) -> bool:
+    """Whether a literal is the value of the credential that it is given to by name."""
+    return strong(v) or _strong_b64(v) or _is_password(name) and password(v)
+
+
+@functools.lru_cache(maxsize=200_000)
+def _is_password(name: str) -> bool:
+    words = [w for w in _words_of(name.rsplit(".", 1)[-1]) if w not in ("value", "val", "str", "string", "raw", "plain", "prod", "dev")]
+    return bool(words) and name_class(name) == 2 and (words[-1] in _PASSWORD or words[-1] == "pass" and len(words) > 1)
+
+
 def random_text(v: str) -> bool:
     """Whether a text looks drawn at random: long, upper and lower case and digits well mixed, no id or digest."""
     if not _RANDOM.match(v) or _UUID.match(v) or _HEX.match(v) or _NOT_SECRET_VALUE.search(v) or _PLACEHOLDER.search(v) or v.count("/") > 3 or v.count(".") > 1:
@@ -204,30 +242,45 @@ def find(text: str) -> list[list[tuple[int, int]]]:
     together from several literals. Each span is the value itself, inside its delimiters."""
     found: list[list[tuple[int, int]]] = []
 
-    def literal(m: re.Match) -> None:
-        first, rest = m[1], m[2]
-        if len(first) < 8 and not rest:
-            return
-        n = _NAME.search(text, max(0, m.start() - 120), m.start())
+    def given(at: int) -> re.Match | None:
+        """The operator directly before a literal, looked for over the space and the bracket between."""
+        i = at
+        while i > 0 and text[i - 1] in " \t\n(":
+            i -= 1
+        return _GIVEN.search(text, max(0, i - 2), at)
+
+    def literal(start: int, end: int) -> int:
+        """Judges a literal with those joined to it; where they end."""
+        op = given(start)
+        if not op:
+            return end
+        first, joined = text[start:end], _JOINED.match(text, end)
+        rest = joined[0]
+        if len(first) < 7 and not rest:
+            return end
+        begin = op.start()
+        while begin > 0 and (text[begin - 1].isalnum() or text[begin - 1] in "_.-\"'`] \t:?|*&<>[]"):
+            begin -= 1
+        n = _NAME.search(text, begin, op.start())
         if not n:
-            return
+            return end
         kind = name_class(n[1])
-        if not rest and kind < 2 and len(first) < 18:
-            return
-        parts = [_inner(first, m.start(1))]
+        if not rest and (kind < 2 and len(first) < 18 or len(first) < 8 and not _is_password(n[1])):
+            return end
+        parts = [_inner(first, start)]
         if rest:
-            parts += [_inner(x[0], m.start(2) + x.start()) for x in _LIT.finditer(rest)]
+            parts += [_inner(x[0], end + x.start()) for x in _LIT.finditer(rest)]
         v = "".join(text[a:b] for a, b in parts)
         if not v:
-            return
-        if _open_ended(text, m):
-            return
+            return end
+        if _open_ended(text, op.start(), start, joined.end()):
+            return end
         part = _secret_part(v)
-        if part is None and not (kind == 2 and (strong(v) or _strong_b64(v)) or kind == 1 and text[m.start()] != "," and random_text(v)):
-            return
+        if part is None and not (kind == 2 and (credential(n[1], v) if op[0][0] != "," or n[0][-1] in "\"'`" else strong(v) or _strong_b64(v)) or kind == 1 and op[0][0] != "," and random_text(v)):
+            return joined.end()
         if part is None:
             found.append(parts)
-            return
+            return joined.end()
         spans, at = [], 0
         for a, b in parts:  # the part's place in the literals it lies in
             n = b - a
@@ -236,10 +289,33 @@ def find(text: str) -> list[list[tuple[int, int]]]:
                 spans.append((a + s, a + e))
             at += n
         found.append([(parts[0][0], parts[0][0]), *spans] if len(parts) > 1 and spans and spans[0][0] >= parts[0][1] else spans)
+        return joined.end()
+
+    def scan(start: int, end: int, depth: int = 0) -> None:
+        """Reads the tokens of a stretch: literals are judged; comments and long literals may hold code again."""
+        at = start
+        while at < end:
+            for m in _TOKEN.finditer(text, at, end):
+                kind = m.lastgroup
+                if kind == "literal":
+                    at = literal(m.start(), m.end())
+                    if "`" == text[m.end() - 1] and depth < 3 and "\n" in m[0]:
+                        scan(m.start() + 1, m.end() - 1, depth + 1)
+                    if at > m.end():
+                        break  # past those joined to it
+                elif kind == "comment":
+                    scan(m.start() + 1 if m[0][0] == "#" else m.start() + 2, m.end(), depth + 1)
+                elif kind == "long":
+                    at = literal(m.start(), m.end()) if "\n" not in m[0] else m.end()
+                    if depth < 3:
+                        q = m[0].find(m[0][-3:])
+                        scan(m.start() + q + 3, m.end() - 3, depth + 1)
+            else:
+                return
 
     def arguments(at: int) -> int:
         """Reads a call from its callee on, calls within it too, to its end."""
-        calls: list[bool] = []  # for each open bracket, whether a literal that is an argument there counts
+        calls: list[str | None] = []  # for each open bracket, the credential whose call it is
         begins = False
         for m in _ARGUMENT.finditer(text, at):
             kind = m.lastgroup if m["lit"] is None else "lit"
@@ -247,10 +323,10 @@ def find(text: str) -> list[list[tuple[int, int]]]:
                 parts = [_inner(m["lit"], m.start("lit"))]
                 parts += [_inner(x[0], m.start("rest") + x.start()) for x in _LIT.finditer(m["rest"])]
                 v = "".join(text[a:b] for a, b in parts)
-                if begins and calls[-1] and not _NOT_WHOLE.match(text, m.end()) and _secret_part(v) is None and (strong(v) or _strong_b64(v)):
+                if begins and calls[-1] and not _NOT_WHOLE.match(text, m.end()) and _secret_part(v) is None and credential(calls[-1], v):
                     found.append(parts)
             elif kind == "open":
-                calls.append(m["open"] == "(" and m["callee"] is not None and takes_credential(m["callee"]))
+                calls.append(m["callee"] if m["open"] == "(" and m["callee"] is not None and takes_credential(m["callee"]) else None)
             elif kind == "close":
                 calls.pop()
                 if not calls:
@@ -259,8 +335,7 @@ def find(text: str) -> list[list[tuple[int, int]]]:
                 begins = kind in ("open", "comma")
         return len(text)
 
-    for m in _ASSIGN.finditer(text):
-        literal(m)
+    scan(0, len(text))
     at = 0
     for m in _CALLEE.finditer(text):
         if m.start() >= at and takes_credential(m[1]):
@@ -273,7 +348,7 @@ def find(text: str) -> list[list[tuple[int, int]]]:
         part = _secret_part(v)
         if part:
             found.append([(m.start(2) + part[0], m.start(2) + part[1])])
-        elif kind == 2 and strong(v) or kind == 1 and "=" in text[m.end(1) : m.start(2)] and random_text(v):
+        elif kind == 2 and (strong(v) or _is_password(m[1]) and "=" in text[m.end(1) : m.start(2)] and re.search(r"\d|[A-Z].*[a-z]", v) and password(v)) or kind == 1 and "=" in text[m.end(1) : m.start(2)] and random_text(v):
             found.append([(m.start(2), m.start(2) + len(v))])
     lower = text.lower()
     if any(x in lower for x in _FORMAT_HINTS) or "://" in text and "@" in text:
@@ -287,9 +362,11 @@ def find(text: str) -> list[list[tuple[int, int]]]:
             if strong(text[s:e]):
                 found.append([(s, e)])
     if not text.isascii() or any(x in lower for x in _NOTE_WORDS):
-        for m in _NOTE.finditer(text):
-            if strong(m[1]) and (_classes(m[1]) >= 3 or _SPOKEN.match(m[1])) and "base64," not in m[1] and "//" not in m[1]:
-                found.append([m.span(1)])
+        for line in _LOGIN_LINE.finditer(text):
+            for m in _USER_AND.finditer(text, line.start(), line.end()):
+                if strong(m[1]) and (_classes(m[1]) >= 3 or _PASSPHRASE.match(m[1])) and "base64," not in m[1] and "//" not in m[1]:
+                    found.append([m.span(1)])
+                    break
     for m in _BLOCK_SCALAR.finditer(text) if "|" in text or ">" in text else ():
         v = "".join(x.strip() for x in m[3].split("\n"))
         if name_class(m[2]) == 2 and strong(v):
@@ -305,13 +382,13 @@ def _inner(literal: str, at: int) -> tuple[int, int]:
     return at + i + 1, at + len(literal) - 1
 
 
-def _open_ended(text: str, m: re.Match) -> bool:
-    """Whether the end of the text cuts the literal's expression short."""
-    tail = text[m.end() : m.end() + 200].strip()
-    if tail in ("+", "\\", ".", "+ \\"):
-        return True
-    opened = "(" in text[m.start() : m.start(1)]
-    return opened and not tail
+_CUT_SHORT = re.compile(r"\s*+(?:\+|\\|\.|\+ \\)?\s*+\Z")
+
+
+def _open_ended(text: str, op: int, start: int, end: int) -> bool:
+    """Whether the end of the text cuts short the expression of the literals from ``start`` to ``end``, given at ``op``."""
+    m = _CUT_SHORT.match(text, end)
+    return m is not None and (bool(m[0].strip()) or "(" in text[op:start])
 
 
 def _strong_b64(v: str) -> bool:
@@ -367,7 +444,7 @@ def _lines_found(text: str) -> list[int]:
 def credential_lines(records: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """(keys, line_no): one row per line on which a credential's value begins; lines count from 1 and end with ``\\n``.
 
-    The text is read lexically: literals (with the literals joined to them) assigned or passed to an identifier (any
+    The text is read lexically, as comments, literals and code: literals (with the literals joined to them) assigned or passed to an identifier (any
     argument of a call of that name, but of lookups such as ``getPassword``), unquoted settings, flags and block scalars, and values of known formats anywhere. A value counts if its name is a
     credential's and it is no placeholder, reference, id or phrase; or if its format says so; or if it is a long random
     text. Public keys, certificates, digests and values read from an environment don't count.

@@ -121,3 +121,32 @@ def test_random_text_never_breaks():
         t = "".join(rng.choice(["password", "=", '"', "'", "`", "\n", "\\", "abC12!xyz", " ", ":", "+", "(", "-----BEGIN PRIVATE KEY-----", "é", "\x00", "@", "://"]) for _ in range(rng.randint(0, 40)))
         got = C.redact(t)
         assert re.sub("REDACTED", "", got).count("\n") == t.count("\n")
+
+
+WEAK = [
+    'setPassword("Zx9!kLm2Qp")', 'x = new Secret("Zx9!kLm2Qp");', 'password = "hunter2"', 'PASSWORD="letmein"', 'pw = "correct horse battery staple"', 'smtp_password: "goAfqiNVxG"', 'PASSWORT = "%oq1hINRi2!-%0xdEb"',
+    "PASSWORD=Hunter2x", "# fallback while sso is down: svc_x:yomu-bralam-cledri-glabra17", 'd.setdefault("PASSWORD", "letmein")', '# password = "hunter2"', 'x = """\npassword = "hunter2"\n"""', "don't; password = 'hunter2'",
+]
+NONE_HERE = [
+    'password = "changeme"', 'password = "password"', 'password = "%s"', 'password = "%(password)s"', 'passwordLabel = "Password"', '"password": "Enter your new password"', 'password = "must not be empty"', "f(pw5, 'early')", 'v = pw5 || "early"', 'password = "user.password"', 'x = y.password || "";',
+    'password = getpass("Password please")', "echo 'password'", 'password = "${PASSWORD}"', '"password": "<your-key-here>"', "url: https://x.example/password", "the password is, as said, long", "password: string", 'password = ""',
+]
+
+
+@pytest.mark.parametrize("text", WEAK)
+def test_weak_values_of_passwords(text):
+    assert C.find(text)
+
+
+@pytest.mark.parametrize("text", NONE_HERE)
+def test_no_passwords(text):
+    assert not C.find(text)
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    t = time.perf_counter()
+    C.find('"a":' * 30_000 + '"b"')
+    C.find("password" * 20_000 + ' = "hunter2"')
+    assert time.perf_counter() - t < 20
