@@ -12,6 +12,8 @@ pair = STR ':' value
 """
 
 PYTHON = """
+SIMPLE = NUM STR NAME
+STOP = ',' ')' ']' '}'
 NAME = ID 'match' 'case' 'type'
 BIN = '+' '-' '*' '/' '//' '%' '@' '&' '|' '^' '<<' '>>' '**' '<' '>' '<=' '>=' '==' '!=' 'and' 'or' 'in'
 PRE = '-' '+' '~' 'not' 'await'
@@ -33,8 +35,8 @@ access = '.' NAME | '[' slices ']'
 imports = 'import' dotted ('as' NAME)? (',' dotted ('as' NAME)?)* | 'from' ('.' | '...')* dotted? 'import' ('*' | '(' names ','? ')' | names)
 names = NAME ('as' NAME)? (',' NAME ('as' NAME)?)*
 dotted = NAME ('.' NAME)*
-exprs = starexpr (',' starexpr)* ','? | yielding
-starexpr = '*' expr | named
+exprs = SIMPLE ',' (SIMPLE ',')* (starexpr (',' starexpr)* ','?)? | starexpr (',' starexpr)* ','? | yielding
+starexpr = SIMPLE &STOP | '*' expr | named
 named = NAME ':=' expr | expr
 expr = 'lambda' params? ':' expr | chain ('if' chain 'else' expr)?
 chain = unit (binary unit)*
@@ -46,9 +48,9 @@ comp = starexpr loops
 loops = ('async'? 'for' targets 'in' chain ('if' named_chain)*)+
 named_chain = NAME ':=' chain | chain
 dict = entry (loops | (',' entry)* ','?)
-entry = '**' chain | expr ':' expr
+entry = SIMPLE ':' SIMPLE &STOP | '**' chain | expr ':' expr
 args = arg (',' arg)* ','?
-arg = '**' expr | '*' expr | NAME '=' expr | named loops?
+arg = SIMPLE &STOP | '**' expr | '*' expr | NAME '=' expr | named loops?
 slices = slice (',' slice)* ','?
 slice = expr? ':' expr? (':' expr?)? | '*' expr | named
 params = param (',' param)* ','?
@@ -73,6 +75,8 @@ keypat = NAME '=' pattern | pattern
 """
 
 GO = """
+SIMPLE = LIT ID
+STOP = ',' ')' ']' '}' ';'
 BIN = '+' '-' '*' '/' '%' '&' '|' '^' '<<' '>>' '&^' '==' '!=' '<' '<=' '>' '>=' '&&' '||'
 PRE = '+' '-' '!' '^' '*' '&' '<-'
 ASSIGN = '=' ':=' '+=' '-=' '*=' '/=' '%=' '&=' '|=' '^=' '<<=' '>>=' '&^='
@@ -110,7 +114,7 @@ select = 'select' select_body
 select_body = '{' ';'* (('case' simple | 'default') ':' stmts)* '}'
 exprs = expr (',' expr)*
 hexprs = hexpr (',' hexpr)*
-expr = unary (BIN unary)*
+expr = SIMPLE &STOP | unary (BIN unary)*
 hexpr = hunary (BIN hunary)*
 unary = PRE* primary
 hunary = PRE* hprimary
@@ -130,6 +134,8 @@ index = '[' (expr? ':' expr? (':' expr?)? | (expr | type) (',' (expr | type))* '
 """
 #: Lines that begin with ``ts:`` belong to TypeScript alone, those with ``js:`` to JavaScript alone.
 ECMASCRIPT = """
+SIMPLE = LIT NAME
+STOP = ',' ')' ']' '}' ';'
 NAME = ID 'async' 'get' 'set' 'static' 'of' 'from' 'as' 'type' 'interface' 'namespace' 'declare' 'abstract' 'readonly' 'public' 'private' 'protected' 'override' 'is' 'keyof' 'infer' 'unique' 'asserts' 'satisfies' 'module' 'global' 'accessor' 'await' 'yield' 'let' 'implements' 'require' 'out'
 ANY = NAME 'break' 'case' 'catch' 'class' 'const' 'continue' 'debugger' 'default' 'delete' 'do' 'else' 'enum' 'export' 'extends' 'false' 'finally' 'for' 'function' 'if' 'import' 'in' 'instanceof' 'new' 'null' 'return' 'super' 'switch' 'this' 'throw' 'true' 'try' 'typeof' 'var' 'void' 'while' 'with'
 BIN = '+' '-' '*' '/' '%' '**' '&' '|' '^' '<<' '<' '<=' '>=' '==' '!=' '===' '!==' '&&' '||' '??' 'in' 'instanceof' '=' '+=' '-=' '*=' '/=' '%=' '**=' '&=' '|=' '^=' '<<=' '&&=' '||=' '??='
@@ -191,7 +197,7 @@ js:spec = (ANY | STR) ('as' (ANY | STR))?
 ts:spec = 'type' (ANY | STR) ('as' (ANY | STR))? &(',' | '}' | END) | (ANY | STR) ('as' (ANY | STR))?
 export = 'export' ('default' (function | class | assign semi) | '*' ('as' (ANY | STR))? 'from' STR semi | 'type'? named ('from' STR)? semi | variable semi | function | class | extra | '=' expr semi | 'as' 'namespace' NAME semi)
 expr = assign (',' assign)*
-assign = 'yield' ('*' assign | !N assign)? | chain ('?' assign ':' assign)? (BIN assign)?
+assign = SIMPLE &STOP | 'yield' ('*' assign | !N assign)? | chain ('?' assign ':' assign)? (BIN assign)?
 chain = operand (binary operand)*
 js:binary = BIN | '>' '>' '>' '=' | '>' '>' '>' | '>' '>' '=' | '>' '>' | '>'
 ts:binary = BIN | '>' '>' '>' '=' | '>' '>' '>' | '>' '>' '=' | '>' '>' | '>'
@@ -219,6 +225,8 @@ ts:part = (('-' | '+')? 'readonly' &(key | '['))? ('[' NAME 'in' type ('as' type
 """
 
 JAVA = """
+SIMPLE = LIT NAME
+STOP = ',' ')' ']' '}' ';'
 NAME = ID 'record' 'sealed' 'permits' 'var' 'yield' 'module' 'non' 'with' 'open' 'when'
 MOD = 'public' 'private' 'protected' 'static' 'final' 'abstract' 'native' 'synchronized' 'transient' 'volatile' 'strictfp' 'default' 'sealed'
 BASIC = 'int' 'long' 'short' 'byte' 'char' 'boolean' 'float' 'double'
@@ -264,7 +272,7 @@ switch_body = '{' (label (':' statement* | '->' (block | 'throw' expr ';' | expr
 label = 'case' caseitem (',' caseitem)* ('when' expr)? | 'default'
 caseitem = 'default' | pattern | ternary
 pattern = 'final'? type NAME | type '(' (pattern (',' pattern)*)? ')' NAME? &('->' | ':' | ',' | ')' | 'when')
-expr = lambda | ternary (BIN expr)?
+expr = SIMPLE &STOP | lambda | ternary (BIN expr)?
 ternary = chain ('?' expr ':' (lambda | ternary))?
 chain = unary (binary (lambda | unary))*
 binary = BIN | '>' '>' '>' '=' | '>' '>' '>' | '>' '>' '=' | '>' '>' | '>' | NEVER

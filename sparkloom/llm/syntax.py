@@ -59,8 +59,6 @@ class Parser:
             inner = re.compile(f"{self.open}([^{self.open}{self.close}]*){self.close}")
             self.innermost = inner
         full = {n: self._compile(b, False) for n, b in self.rules.items()}
-        # a long run of literals between commas parses as two of them do
-        self.squeeze = re.compile(f"([{self.code('NUM')}{self.code('STR')}]{self.code(',')})\\1{{2,}}")
         self.network = regex.compile(self._reachable(full, "file"))
         if self.roles:
             small = {n: self._compile(b, True) for n, b in self.rules.items() if n not in self.roles}
@@ -159,7 +157,6 @@ class Parser:
     def accepts(self, stream: str) -> bool:
         if ERROR in stream:
             return False
-        stream = self.squeeze.sub(r"\1\1", stream)
         if not self.roles:
             return self.network.fullmatch(stream) is not None
         depth = stream.count(self.open)
