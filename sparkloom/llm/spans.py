@@ -14,7 +14,8 @@ from ..session import materialize
 
 K = 200
 M = 64
-#: Texts from which a minimiser's bucket is hot and is spread by window instead of gathered (about 300 characters a row).
+#: Super-k-mers from which a minimiser's bucket is hot and is spread by window instead of gathered (about 300 characters
+#: each)
 HOT_ROWS = 20_000
 
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +120,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     3. For the others the super-k-mer travels as one packed string to its minimiser's bucket, where its windows
        are sorted by a 128-bit hash and counted. Equal windows have equal minimisers, so that each window is
        decided in exactly one bucket.
-    4. A bucket of more than ``hot_rows`` texts (boilerplate of a large part of the corpus) is never gathered:
+    4. A bucket of more than ``hot_rows`` super-k-mers (boilerplate of a large part of the corpus) is never gathered:
        its windows are spread by their own hash with map-side combination and joined back to the shared ones.
     5. The ranges of each id are merged by the interval sweep.
 
@@ -138,14 +139,16 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [np.unique(super_kmers(_codes(t), k, m)[0]).view(np.int64) for t in b.column("_t").to_pylist()]
-            off = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            values = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), pa.ListArray.from_arrays(pa.array(off), values)], ["_id", "_h", "_ms"])
-
-    mins = d.select("_id", F.unhex(F.md5("_t")).alias("_h"), "_t").mapInArrow(minimisers, f"_id {idt}, _h binary, _ms array<bigint>")
-    pairs = materialize(mins.join(reps, "_id").where(F.col("_h") == F.col("_rh")).select("_id", F.explode("_ms").alias("_m")))
-    several = pairs.groupBy("_m").agg(F.min("_id").alias("a"), F.max("_id").alias("z"), F.count("*").alias("c")).where("a <> z")
+            found = [np.unique(super_kmers(_codes(t), k, m)[0], return_counts=True) for t in b.column("_t").to_pylist()]
+            off = pa.array(np.cumsum([0, *(len(x) for x, _ in found)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate([f[i] for f in found] or [np.zeros(0)]).astype(np.uint64).view(np.int64))) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), *lists], ["_id", "_h", "_ms", "_cs"])
+
+    mins = d.select("_id", F.unhex(F.md5("_t")).alias("_h"), "_t").mapInArrow(minimisers, f"_id {idt}, _h binary, _ms array<bigint>, _cs array<bigint>")
+    pairs = mins.join(reps, "_id").where(F.col("_h") == F.col("_rh")).select("_id", F.explode(F.arrays_zip("_ms", "_cs")).alias("x"))
+    pairs = materialize(pairs.select("_id", F.col("x._ms").alias("_m"), F.col("x._cs").cast("int").alias("_n")))
+    # a bucket's size is that of its super-k-mers: one text may have very many with one minimiser
+    several = pairs.groupBy("_m").agg(F.min("_id").alias("a"), F.max("_id").alias("z"), F.sum("_n").alias("c")).where("a <> z")
     several = materialize(several.select("_m", (F.col("c") > hot_rows).alias("_hot")))
     some_hot = not several.where("_hot").isEmpty()
 

@@ -53,3 +53,14 @@ def test_default_length(spark):
     assert got == brute(docs, 200)
     share = {r.doc_id: (r.shared_chars, r.n_chars) for r in spans.shared_share(df, spans.shared_spans(df)).collect()}
     assert share[2][0] >= 260 and share[3] == (0, 199)
+
+
+def test_a_minimiser_that_one_text_repeats_is_hot(spark):
+    import random
+
+    rng = random.Random(5)
+    period = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    df = spark.createDataFrame([(1, period * 30 + "x" * 250), (2, period * 31 + "y" * 250), (3, "z" * 400)], "doc_id bigint, text string")
+    want = {(1, 0, 9000), (2, 0, 9300)}
+    for hot in (10, 100_000):
+        assert {tuple(r) for r in spans.shared_spans(df, hot_rows=hot).collect()} == want
