@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import spread
-from . import prefix
+from . import prefix, structure
 
 # Bytes of a sliding window and of the overlap of two, bytes of the largest chunk, lines of the longest shell function.
 WINDOW = 4000
@@ -136,15 +136,16 @@ def mean_pool(rows: DataFrame, key: str, vector_col: str) -> DataFrame:
 
 # -- structure-aware chunkers -----------------------------------------------------------------------------------------
 
-Piece = tuple[str, int, int, str | None, str | None]  # type, first line, last line, symbol, parent
+Piece = structure.Piece
 
 
 def python_pieces(lines: list[str]) -> list[Piece] | None:
-    """Functions, methods and classes by Python's own syntax tree; None where the file does not parse."""
+    """Functions, methods and classes by Python's own syntax tree; where the file does not parse, by its headers and
+    indentation."""
     try:
         tree = ast.parse("\n".join(lines))
     except (SyntaxError, ValueError, RecursionError):
-        return None
+        return structure.pieces(lines, "python")
     out: list[Piece] = []
 
     def walk(node: ast.AST, parent: str | None) -> None:
@@ -163,7 +164,8 @@ def python_pieces(lines: list[str]) -> list[Piece] | None:
 
 
 def markdown_pieces(lines: list[str]) -> list[Piece] | None:
-    """A section for each heading, up to the next heading of the same or a higher level; fences hide headings."""
+    """A section for each heading, up to the next heading of the same or a higher level; fences hide headings. Sections
+    are types without a name, so that they are no symbols."""
     heads, fence = [], ""
     for i, x in enumerate(lines, 1):
         m = re.match(r" {0,3}(```+|~~~+)", x)
@@ -175,148 +177,23 @@ def markdown_pieces(lines: list[str]) -> list[Piece] | None:
     out: list[Piece] = []
     for k, (at, level, title) in enumerate(heads):
         end = next((a - 1 for a, n, _ in heads[k + 1 :] if n <= level), len(lines))
-        out.append(("class", at, end, title, None))
+        out.append(("type", at, end, None, None))
     return out or None
 
 
-_SHELL_FUNCTION = re.compile(r"^\s*(?:function\s+([A-Za-z_][\w:.-]*)(?:\s*\(\))?|([A-Za-z_][\w:.-]*)\s*\(\))\s*\{")
-_HEREDOC = re.compile(r"<<(-?)\s*\\?(['\"]?)([A-Za-z_]\w*)\2")
-
-
 def bash_pieces(lines: list[str], most: int = BASH_LINES) -> list[Piece] | None:
-    """Shell functions with an opening brace on their first line, by counting braces outside quotes, comments and
-    here-documents; a function that does not close within ``most`` lines is skipped."""
-    out: list[Piece] = []
-    i = 0
-    while i < len(lines):
-        m = _SHELL_FUNCTION.match(lines[i])
-        end = _shell_end(lines, i, most) if m else None
-        if end is None:
-            i += 1
-        else:
-            out.append(("function", i + 1, end + 1, m[1] or m[2], None))
-            i = end + 1
-    return out or None
-
-
-def _shell_end(lines: list[str], at: int, most: int) -> int | None:
-    depth, quote, waiting = 0, "", []
-    for n in range(at, min(len(lines), at + most)):
-        x = lines[n]
-        if waiting:
-            tabs, word = waiting[0]
-            if (x.lstrip("\t") if tabs else x).rstrip("\r") == word:
-                waiting.pop(0)
-            continue
-        j = 0
-        while j < len(x):
-            c = x[j]
-            if quote:
-                if c == "\\" and quote == '"':
-                    j += 1
-                elif c == quote:
-                    quote = ""
-            elif c == "\\":
-                j += 1
-            elif c in "\"'":
-                quote = c
-            elif c == "#" and (j == 0 or x[j - 1] in " \t;"):
-                break
-            elif c == "<" and x.startswith("<<", j) and not x.startswith("<<<", j) and (h := _HEREDOC.match(x, j)):
-                waiting.append((h[1], h[3]))
-                j = h.end() - 1
-            elif c == "<" and x.startswith("<<<", j):
-                j += 2
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if depth == 0:
-                    return n
-            j += 1
-    return None
-
-
-_BRACED = {
-    "go": (r"^func\s+(?:\([^)]*\)\s*)?(\w+)", r"^type\s+(\w+)\s+(?:struct|interface)", False),
-    "rust": (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)", False),
-}
-_BRACED_OTHER = (
-    r"^\s*(?:(?:export|default|public|private|protected|internal|static|final|abstract|async|override|virtual|inline|synchronized|open|suspend|fun|function|func|def)\s+)*(?:[\w<>\[\],.?*&: ]+?\s+[*&]?)?(\w+)\s*(?:<[^>]*>)?\s*\([^;{}]*(?:\)[^;{}=]*\{?\s*$|$)",
-    r"^\s*(?:(?:export|default|public|private|protected|internal|static|final|abstract|sealed|data|open|declare)\s+)*(?:class|interface|struct|enum|trait|object|record|namespace|union)\s+(\w+)",
-    True,
-)
-_ARROW = re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*|\w+\s*=>)")
-_NO_NAMES = frozenset("if for while switch catch return else do try new throw sizeof typeof await yield match loop when using lock synchronized function".split())
-
-
-def braced_pieces(lines: list[str], language: str) -> list[Piece] | None:
-    """Functions, methods and types of languages with braces: a declaration's line, up to the brace that closes it.
-
-    A lexical approximation (quotes and comments hide braces) of what a syntax tree would give.
-    """
-    func, kind, nested = _BRACED.get(language, _BRACED_OTHER)
-    func_re, type_re = re.compile(func), re.compile(kind)
-    ends = _brace_ends(lines)
+    """Shell functions with an opening brace on their first line, outermost ones; one that does not close, or takes more
+    than ``most`` lines, is skipped."""
     out: list[Piece] = []
-    parents: list[tuple[str, int]] = []
-    inside = -1
-    for i, x in enumerate(lines):
-        while parents and parents[-1][1] < i:
-            parents.pop()
-        m, k = type_re.match(x), "type" if language in ("go", "rust") else "class"
-        if not m:
-            m, k = func_re.match(x), "function"
-            if not m and language in ("javascript", "typescript", "tsx"):
-                m = _ARROW.match(x)
-            if m and m[1] in _NO_NAMES:
-                m = None
-        if not m or k == "function" and i <= inside and not (parents and nested):
-            continue
-        end = next((e for s, e in ((j, ends.get(j)) for j in range(i, min(i + 12, len(lines)))) if e is not None), None)
-        if end is None or k == "function" and i <= inside:
-            continue
-        parent = parents[-1][0] if parents and nested else None
-        out.append(("method" if k == "function" and parent else k, i + 1, end + 1, m[1], parent))
-        if k == "function":
-            inside = end
-        elif nested:
-            parents.append((m[1], end))
+    for p in structure.pieces(lines, "bash") or ():
+        if p[2] - p[1] < most and not (out and p[1] <= out[-1][2]):
+            out.append(p)
     return out or None
 
 
-def _brace_ends(lines: list[str]) -> dict[int, int]:
-    """line of an opening brace -> line of its closing one, for the last brace opened on each line."""
-    out: dict[int, int] = {}
-    stack: list[int] = []
-    block = quote = ""
-    token = re.compile(r"\\.|/\*|\*/|//|[\"'`{}]")
-    for n, x in enumerate(lines):
-        if quote and quote != "`":
-            quote = ""
-        for m in token.finditer(x):
-            t = m[0]
-            if block:
-                block = "" if t == "*/" else block
-            elif quote:
-                quote = "" if t == quote else quote
-            elif t == "//":
-                break
-            elif t == "/*":
-                block = t
-            elif t in "\"'`":
-                quote = t
-            elif t == "{":
-                stack.append(n)
-            elif t == "}" and stack:
-                out[stack.pop()] = n
-    return out
-
-
 #: language -> chunker of lines; callers may add their own.
-CHUNKERS: dict[str, Callable[[list[str]], list[Piece] | None]] = {"python": python_pieces, "markdown": markdown_pieces, "bash": bash_pieces}
-for _x in "typescript javascript go rust java tsx c cpp c_sharp php swift kotlin scala dart css scss".split():
-    CHUNKERS[_x] = lambda lines, _x=_x: braced_pieces(lines, _x)
+CHUNKERS: dict[str, Callable[[list[str]], list[Piece] | None]] = {x: lambda lines, x=x: structure.pieces(lines, x) for x in structure.LANGUAGES}
+CHUNKERS |= {"python": python_pieces, "markdown": markdown_pieces, "bash": bash_pieces}
 
 
 def enabled_languages(wanted: Sequence[str], chunkers: dict[str, Callable] | None = None) -> tuple[dict[str, Callable], list[str]]:
@@ -369,8 +246,8 @@ def chunk_file(content: str, language: str | None) -> list[dict]:
 def chunk_files(files: DataFrame, id_col: str = "file_id", text_col: str = "content", limit: int = MAX_CHUNK) -> DataFrame:
     """(id, language, idx, content, chunk_type, start_line, end_line, symbol_name, signature, parent_name) of each file.
 
-    Python goes by its syntax tree, shell by function openers, Markdown by headings, languages with braces by declarations
-    (a lexical approximation); other files, and those a chunker finds nothing in, by sliding windows. Oversized structural
+    Python goes by its syntax tree, Markdown by headings, the languages of ``structure.LANGUAGES`` by their declarations (a
+    lexical approximation of a syntax tree); other files, and those a chunker finds nothing in, by sliding windows. Oversized structural
     chunks are cut by ``pack_lines``. Null and empty contents have no chunks. ``idx`` is the position in the file.
     """
     kind = files.schema[id_col].dataType.simpleString()
