@@ -120,6 +120,25 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"), "chunk_id", "content", "start_line")
 
 
+@query
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each chunk over the limit say together: the text without the repeated bytes, the lines from the
+    first piece to the last, whether all fit and none repeats more than it may."""
+    chunks = table(spark, d, "chunks").where("content is not null").dropDuplicates(["chunk_id"])
+    p = splitting.split_oversized(chunks, "chunk_id", "content", "start_line")
+    fresh = F.expr("substring(encode(content, 'utf-8'), overlap_bytes + 1)")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", F.hex(fresh).alias("h")))), lambda x: x["h"]), "")  # one chunk's own bytes
+    fits = F.max(F.octet_length("content")) <= splitting.LIMIT
+    repeats = (F.max("overlap_bytes") <= splitting.OVERLAP) & (F.max(F.when(F.col("piece_no") > 0, F.col("overlap_bytes"))) >= 0)
+    return p.groupBy("chunk_id").agg(F.md5(F.unhex(text)).alias("content_md5"), F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"), fits.alias("fits"), repeats.alias("repeats"), (F.count("*") > 1).alias("several"))
+
+
+ORACLE["p6_round_trip"] = """
+SELECT DISTINCT chunk_id, md5(content) AS content_md5, start_line AS first_line, (start_line + length(content) - length(replace(content, chr(10), '')) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END)::INTEGER AS last_line, true AS fits, true AS repeats, true AS several
+FROM chunks WHERE octet_length(encode(content)) > 4500
+"""
+
+
 @query
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
